@@ -2,8 +2,8 @@
 
 ``elements`` has the page's key columns (``page`` by default, any number), ``seq``
 (order of appearance, the tie-break wherever positions are equal), ``text``,
-``font_name``, ``font_size`` and the bounds ``x1 y1 x2 y2`` with y upwards. All
-operators shuffle on the page's key only, so they chain without a second exchange.
+``font_name``, ``font_size`` and the bounds ``x1 y1 x2 y2`` with y upwards. Exchanges
+are by page and line, so even a page with very many elements is spread.
 Rows with null coordinates sort last and start lines of their own.
 """
 
@@ -70,10 +70,11 @@ def cluster_lines(elements: DataFrame, page: tuple[str, ...] = ("page",), share:
     for i, p in enumerate(page):
         on = on & F.col(p).eqNullSafe(F.col(f"_p{i}"))
     joined = sized.join(lines, on).select(*elements.columns, "dominant", "line_idx")
-    # dominant 0: each element is a line
+    # Where the dominant size is 0 each element is a line. Both branches read one
+    # exchange; the second has rows only for such pages.
+    flat = F.col("dominant") * share <= 0
     w = Window.partitionBy(*page).orderBy(F.desc("y1"), "seq")
-    zero = F.col("dominant") * share <= 0
-    return joined.withColumn("line_idx", F.when(zero, F.row_number().over(w) - 1).otherwise(F.col("line_idx")).cast("int"))
+    return joined.where(~flat | flat.isNull()).unionByName(joined.where(flat).withColumn("line_idx", (F.row_number().over(w) - 1).cast("int")))
 
 
 def line_texts(elements: DataFrame, line: tuple[str, ...] = ("page", "line_idx")) -> DataFrame:
@@ -83,16 +84,25 @@ def line_texts(elements: DataFrame, line: tuple[str, ...] = ("page", "line_idx")
     Elements go from left to right. A gap of three average widths or more is a tab,
     one above 0.3 a blank, else none. A line without characters takes half the
     page's dominant size as its width."""
-    avg = average_width(elements, line, "dominant" if "dominant" in elements.columns else None)
-    w = Window.partitionBy(*line).orderBy("x1", "seq")
-    gap = F.col("x1") - F.lag("x2").over(w)
-    rows = elements.withColumn("_gap", gap).withColumn("_at", F.row_number().over(w)).join(avg, list(line))
-    sep = F.when(F.col("_gap").isNull(), "").when(F.col("_gap") >= COLUMN_GAP * F.col("avg_width"), "\t").when(F.col("_gap") > WORD_GAP * F.col("avg_width"), " ").otherwise("")
+    whole = Window.partitionBy(*line)
+    w = whole.orderBy("x1", "seq")
+    full = F.col("text") != ""
+    chars = F.sum(F.when(full, F.char_length("text"))).over(whole)
+    other = F.lit(DEFAULT_WIDTH) * (F.max("dominant").over(whole) if "dominant" in elements.columns else F.lit(1.0))
+    rows = elements.select(
+        *line, "text", "font_name", "font_size", "x1", "y1", "x2", "y2",
+        F.count(F.lit(1)).over(Window.partitionBy(*line, "font_name", "font_size")).alias("_fonts"),
+        F.coalesce(F.sum(F.when(full, F.col("x2") - F.col("x1"))).over(whole) / F.nullif(chars, F.lit(0)), other).alias("_width"),
+        (F.col("x1") - F.lag("x2").over(w)).alias("_gap"), F.row_number().over(w).alias("_at"),
+    )
+    sep = F.when(F.col("_gap").isNull(), "").when(F.col("_gap") >= COLUMN_GAP * F.col("_width"), "\t").when(F.col("_gap") > WORD_GAP * F.col("_width"), " ").otherwise("")
+    # windows and aggregate share one exchange by line
+    font = F.min_by(F.struct("font_name", "font_size"), F.struct((-F.col("_fonts")).alias("n"), (-F.col("font_size")).alias("s"), F.col("font_name").alias("f")))
     texts = rows.groupBy(*line).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.concat(sep, F.coalesce("text", F.lit(""))).alias("t")))), lambda x: x["t"]), "").alias("text"),
-        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count(F.lit(1)).cast("int").alias("n_elements"),
+        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count(F.lit(1)).cast("int").alias("n_elements"), font.alias("_font"),
     )
-    return texts.join(dominant_font(elements, line), list(line))
+    return texts.select(*line, "text", "x1", "y1", "x2", "y2", "n_elements", "_font.font_name", "_font.font_size")
 
 
 def regions(lines: DataFrame, page: tuple[str, ...] = ("page",), order: str = "line_idx") -> DataFrame:

@@ -66,8 +66,20 @@ def p5_items(spark: SparkSession, d: str) -> DataFrame:
     return flatten.subtype_table(_flat(spark, d, "statement"), "item", "label string")
 
 
+def p5_sheets(spark: SparkSession, d: str) -> DataFrame:
+    return flatten.subtype_table(_flat(spark, d, "statement"), "sheet", "name string, currency string, hidden boolean").drop("inner_no")
+
+
+def p5_results(spark: SparkSession, d: str) -> DataFrame:
+    return flatten.subtype_table(_flat(spark, d, "response"), "result", "Emiten struct<Code:string,Boards:array<string>>").drop("inner_no")
+
+
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    return flatten.leaves(table(spark, d, "statement_files"), "file_id", "body", flatten.STATEMENT, "values")
+
+
 def p5_variants(spark: SparkSession, d: str) -> DataFrame:
     return flatten.variant_tables(_flat(spark, d, "response").unionByName(_flat(spark, d, "statement")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_items, p2_found, p3_found, p3_quantities, p4_found, p4_wide, p5_found, p5_attachments, p5_items, p5_variants)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_items, p2_found, p3_found, p3_quantities, p4_found, p4_wide, p5_found, p5_attachments, p5_items, p5_sheets, p5_results, p5_values, p5_variants)}

@@ -61,6 +61,24 @@ def test_automaton_states():
     assert flatten.state([{"x": 1}, {"x": 2.5}]) == '[{"x":num}]'
 
 
+def test_variant_tables_are_typed(spark):
+    body = json.dumps({"Results": [{"Attachments": [{"a": 1, "parent_id": "x", "b": [True], "c": {"d": "t"}}, {"a": "s"}, {"A": 1, "a": 2}, {"z": []}]}]})
+    flat = flatten.flatten(spark.createDataFrame([(1, body)], "id bigint, body string"), "id", "body", flatten.RESPONSE, ("attachment",))
+    shapes = sorted(r["shape"] for r in flatten.variant_tables(flat).collect())
+    assert [flatten.schema_of(x) for x in shapes] == ["struct<`A`:double,`a`:double>", "struct<`a`:double,`b`:array<boolean>,`c`:struct<`d`:string>,`parent_id`:string>", "struct<`a`:string>", "struct<`z`:array<string>>"]
+    t = flatten.variant_table(flat, "attachment", shapes[1])
+    assert t.columns == ["parent_id", "outer_no", "inner_no", "a", "b", "c", "members"]
+    r = t.first()
+    assert (r["parent_id"], r["inner_no"], r["a"], r["b"], r["c"]["d"]) == (1, 0, 1.0, [True], "t")
+    assert flatten.variant_table(flat, "attachment", shapes[0]).columns == ["parent_id", "outer_no", "inner_no", "members"]
+
+
+def test_leaves(spark):
+    body = json.dumps({"sheets": [{"items": [{"values": {"a": 1, "b": "x", "c": None, "d": True}}, {"values": None}, {}]}]})
+    got = flatten.leaves(spark.createDataFrame([(1, body), (1, body), (2, None)], "id bigint, body string"), "id", "body", flatten.STATEMENT, "values").collect()
+    assert sorted((r["name"], r["type"], r["text"], r["number"], r["flag"]) for r in got) == [("a", "num", "1", 1.0, None), ("b", "str", "x", None, None), ("c", "null", None, None, None), ("d", "bool", "true", None, True)]
+
+
 def test_found_against_brute_force(spark, sf):
     want = set()
     for r in general.table(spark, sf, "report_responses").collect():
