@@ -17,7 +17,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.quantity import MONEY, read_fact
@@ -78,40 +78,30 @@ def viterbi(levels: list[float | None], candidates: list[list[tuple]], sigma: fl
     return path[::-1]
 
 
-_READ = "fact_id {id}, filing_id {filing}, device string, concept string, period string, year int, figure double, base string, scale int, pin int"
+_READ = "fact_id {id}, filing_id {filing}, ticker string, concept string, period string, figure double, base string, scale int, pin int"
 
 
 def read_facts(df: DataFrame) -> DataFrame:
     """One row per ``fact_id`` (the latest ``loaded_at`` of those sent again) with the
     figure as written, the stated base and scale, and ``pin``: the power of ten
-    that the reading rules fix. Facts without a ticker form devices by filing; rows
-    without a ``fact_id`` can't be told apart and are left out."""
+    that the reading rules fix. Rows without a ``fact_id`` can't be told apart and
+    are left out."""
     src = (
         df.where(F.col("fact_id").isNotNull())
         .groupBy("fact_id")
         .agg(F.max(F.struct("loaded_at", "filing_id", "ticker", "concept", "period", "raw_text", "unit", "decimals")).alias("r"))
-        .select(
-            "fact_id",
-            "r.filing_id",
-            F.concat(F.coalesce(F.nullif(F.trim("r.ticker"), F.lit("")), F.concat(F.lit("#"), F.coalesce(F.col("r.filing_id").cast("string"), F.lit("")))), F.lit("\x1f"), F.coalesce("r.concept", F.lit(""))).alias("device"),
-            "r.concept",
-            "r.period",
-            F.expr("try_cast(regexp_extract(r.period, '([0-9]{4})', 1) as int)").alias("year"),
-            "r.raw_text",
-            "r.unit",
-            "r.decimals",
-        )
+        .select("fact_id", "r.filing_id", F.nullif(F.trim("r.ticker"), F.lit("")).alias("ticker"), "r.concept", "r.period", "r.raw_text", "r.unit", "r.decimals")
     )
     kinds = dict(src.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, unit, dec = (b.column(i).to_pylist() for i in (6, 7, 8))
+            raw, unit, dec = (b.column(i).to_pylist() for i in (5, 6, 7))
             got = [read_fact(r, u) for r, u in zip(raw, unit, strict=True)]
             pin = [pinned_scale(*g, d) for g, d in zip(got, dec, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(6)), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.int32()), pa.array(pin, pa.int32())],
-                [*b.schema.names[:6], "figure", "base", "scale", "pin"],
+                [*(b.column(i) for i in range(5)), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.int32()), pa.array(pin, pa.int32())],
+                [*b.schema.names[:5], "figure", "base", "scale", "pin"],
             )
 
     return src.mapInArrow(run, _READ.format(id=kinds["fact_id"], filing=kinds["filing_id"]))
@@ -121,7 +111,10 @@ def decode_open(read: DataFrame) -> DataFrame:
     """``fact_id``, ``base`` and ``pin`` of the open facts that their device's chain decides.
 
     Candidate states are the units the device's pinned facts use; a stated scale
-    narrows them. Facts of a device without any pinned fact stay open."""
+    narrows them. Facts of a device without any pinned fact stay open; facts without
+    a ticker form devices by filing."""
+    owner = F.coalesce("ticker", F.concat(F.lit("#"), F.coalesce(F.col("filing_id").cast("string"), F.lit(""))))
+    read = read.withColumn("device", F.concat(owner, F.lit("\x1f"), F.coalesce("concept", F.lit("")))).withColumn("year", F.expr("try_cast(regexp_extract(period, '([0-9]{4})', 1) as int)"))
     open_ = read.where(F.col("pin").isNull() & F.col("figure").isNotNull())
     devices = open_.select("device").distinct()
     mine = read.where(F.col("figure").isNotNull()).join(devices, "device", "left_semi")
@@ -181,16 +174,18 @@ def normalise_units(facts: DataFrame, factors: DataFrame) -> DataFrame:
     neither text nor chain tells is kept as "open" without one. Currencies are not
     converted into each other."""
     read = cut(read_facts(facts))
-    decoded = decode_open(read).select(F.col("fact_id").alias("_id"), F.col("base").alias("_base"), F.col("pin").alias("_pin"))
-    pinned = read.where(F.col("pin").isNotNull() | F.col("figure").isNull()).withColumn("how", F.when(F.col("pin").isNotNull(), "stated").otherwise("open"))
-    opened = (
-        read.where(F.col("pin").isNull() & F.col("figure").isNotNull())
-        .join(decoded, F.col("fact_id") == F.col("_id"), "left")
-        .withColumn("how", F.when(F.col("_id").isNull(), "open").otherwise("decoded"))
-        .withColumn("base", F.coalesce("base", "_base"))
-        .withColumn("pin", F.col("_pin"))
-    )
-    both = pinned.unionByName(opened.select(pinned.columns))
+    open_ = F.col("pin").isNull() & F.col("figure").isNotNull()
+    both = read.where(~open_).withColumn("how", F.when(F.col("pin").isNotNull(), "stated").otherwise("open"))
+    if not read.where(open_).isEmpty():  # else there is no chain to decode
+        decoded = decode_open(read).select(F.col("fact_id").alias("_id"), F.col("base").alias("_base"), F.col("pin").alias("_pin"))
+        opened = (
+            read.where(open_)
+            .join(decoded, F.col("fact_id") == F.col("_id"), "left")
+            .withColumn("how", F.when(F.col("_id").isNull(), "open").otherwise("decoded"))
+            .withColumn("base", F.coalesce("base", "_base"))
+            .withColumn("pin", F.col("_pin"))
+        )
+        both = both.unionByName(opened.select(both.columns))
     units = factors.groupBy("unit_code").agg(F.max(F.struct("common_unit", "factor")).alias("u")).select(F.col("unit_code").alias("base"), "u.common_unit", "u.factor")
     return both.join(units, "base", "left").select(
         "fact_id", "filing_id", "concept", "period", "figure", F.col("base").alias("unit_code"), F.col("pin").alias("scale"), "common_unit",
@@ -198,7 +193,11 @@ def normalise_units(facts: DataFrame, factors: DataFrame) -> DataFrame:
     )
 
 
-def _agree(a: str, b: str):
+#: Width, in powers of ten, of the buckets of the pair join: some twenty tolerances.
+_BUCKET = 0.01
+
+
+def _agree(a: str, b: str) -> Column:
     x, y = F.col(a), F.col(b)
     return F.abs(x - y) <= TOLERANCE * F.greatest(F.abs(x), F.abs(y))
 
@@ -207,17 +206,28 @@ def restated(quantities: DataFrame) -> DataFrame:
     """Pairs ``fact_id_a`` < ``fact_id_b`` of one filing, concept and period that give
     one quantity (within ``TOLERANCE``) in figures that differ by more than that.
 
-    Equal (quantity, figure) classes are joined first, by logarithmic bucket and the
-    neighbouring ones, and only classes that match are opened into facts; so a group
-    of copies, however large, is one row in the join. Facts without filing, concept
-    or period have no group."""
+    Facts are pre-aggregated to classes of equal (quantity, figure) with their number,
+    least and greatest id, so a group of copies, however large, is one row in the
+    join. Classes meet by logarithmic bucket; one that lies within the tolerance of a
+    bucket's edge stands in both. A matched class of one or two facts names them
+    itself; larger ones are opened by a join with the facts. Facts without filing,
+    concept or period have no group; zero agrees only with zero, in equal figures."""
     group = ["filing_id", "concept", "period", "common_unit"]
     q = cut(quantities.where(F.col("quantity").isNotNull() & (F.col("quantity") != 0)).dropna(subset=group).select("fact_id", *group, "quantity", "figure"))
-    classes = q.select(*group, "quantity", "figure").distinct().withColumn("bucket", F.floor(F.log10(F.abs("quantity")) / 0.0005)).withColumn("minus", F.col("quantity") < 0)
-    a = classes.select(*group, "minus", "bucket", F.col("quantity").alias("qa"), F.col("figure").alias("fa"))
-    b = classes.select(*group, "minus", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), F.col("quantity").alias("qb"), F.col("figure").alias("fb"))
-    pairs = a.join(b, [*group, "minus", "bucket"]).where((F.struct("qa", "fa") < F.struct("qb", "fb")) & _agree("qa", "qb") & ~_agree("fa", "fb")).select(*group, "qa", "fa", "qb", "fb")
-    left = q.select(*group, F.col("quantity").alias("qa"), F.col("figure").alias("fa"), F.col("fact_id").alias("ia"))
-    right = q.select(*group, F.col("quantity").alias("qb"), F.col("figure").alias("fb"), F.col("fact_id").alias("ib"))
-    found = pairs.join(left, [*group, "qa", "fa"]).join(right, [*group, "qb", "fb"])
+    log = F.log10(F.abs("quantity"))
+    slack = math.log10(1 / (1 - TOLERANCE)) * 1.001
+    bucket = lambda x: F.floor(x / _BUCKET)
+    classes = q.groupBy(*group, "quantity", "figure").agg(F.count(F.lit(1)).alias("n"), F.min("fact_id").alias("lo"), F.max("fact_id").alias("hi")).withColumn("minus", F.col("quantity") < 0)
+    side = lambda s, at: classes.select(*group, "minus", at.alias("bucket"), *[F.col(c).alias(c[0] + s) for c in ("quantity", "figure", "n", "lo", "hi")])
+    a, b = side("a", bucket(log)), side("b", F.explode(F.array_distinct(F.array(bucket(log - slack), bucket(log), bucket(log + slack)))))
+    met = a.join(b, [*group, "minus", "bucket"]).where((F.struct("qa", "fa") < F.struct("qb", "fb")) & _agree("qa", "qb") & ~_agree("fa", "fb"))
+    pairs = cut(met.select(*group, "qa", "fa", "na", "la", "ha", "qb", "fb", "nb", "lb", "hb"))
+    few = pairs.where((F.col("na") <= 2) & (F.col("nb") <= 2))
+    ids = lambda s: F.explode(F.array_distinct(F.array(F.col("l" + s), F.col("h" + s))))
+    direct = few.withColumn("ia", ids("a")).withColumn("ib", ids("b")).select("ia", "ib")
+    found = direct
+    many = pairs.where((F.col("na") > 2) | (F.col("nb") > 2))
+    if not many.isEmpty():  # else no class needs its facts looked up
+        facts = lambda s: q.select(*group, F.col("quantity").alias("q" + s), F.col("figure").alias("f" + s), F.col("fact_id").alias("i" + s))
+        found = direct.unionByName(many.join(facts("a"), [*group, "qa", "fa"]).join(facts("b"), [*group, "qb", "fb"]).select("ia", "ib"))
     return found.select(F.least("ia", "ib").alias("fact_id_a"), F.greatest("ia", "ib").alias("fact_id_b"))

@@ -98,3 +98,19 @@ def test_found_against_brute_force(spark, sf):
     got = [tuple(r) for r in general.p3_found(spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
     assert not any(math.isnan(r["quantity"]) for r in q)
+
+
+def test_copies_and_bucket_edges(spark):
+    import itertools
+
+    schema = "fact_id bigint, filing_id bigint, concept string, period string, common_unit string, quantity double, figure double"
+    values = [10 ** (k * 0.01) * (1 + e) for k in (1, 2, 3) for e in (-9e-4, -4e-4, 0.0, 4e-4, 9e-4)]
+    rows = [(i, 1, "c", "p", "u", sign * v, sign * f * v) for i, (v, f, sign) in enumerate(itertools.product(values, (1.0, 1e-3), (1.0, -1.0)))]
+    rows += [(1000 + i, 1, "c", "p", "u", 5e6, 5.0) for i in range(6)] + [(2000 + i, 1, "c", "p", "u", 5e6, 5000.0) for i in range(3)] + [(3000, 1, "c", None, "u", 5e6, 1.0), (3001, 1, "c", "p", "u", 0.0, 0.0)]
+
+    def near(a, b):
+        return abs(a - b) <= 0.001 * max(abs(a), abs(b))
+
+    want = {(min(a[0], b[0]), max(a[0], b[0])) for a, b in itertools.combinations([r for r in rows if r[3] and r[5]], 2) if near(a[5], b[5]) and not near(a[6], b[6])}
+    got = [tuple(r) for r in units.restated(spark.createDataFrame(rows, schema)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 18
