@@ -240,22 +240,35 @@ class Matcher:
         same = [self.entries[f][0] for f in forms if f in self.entries]
         if same:  # distance 0 can't be beaten
             return min(same), 0.0
-        for trees, table in ((self.shards, self.entries), (self.short, self.cut_off)):
-            best = None
+        for trees, table, most in ((self.shards, self.entries, THRESHOLD), (self.short, self.cut_off, CUT_THRESHOLD)):
+            best: tuple[float, int] | None = None
             for form in forms:
-                # a value bilingual in full is long; only forms near an entry's length can match
-                radius = int(THRESHOLD * len(form) / (1 - THRESHOLD))
-                for tree in trees:
-                    for d, e in tree.within(form, radius):
-                        share = d / max(len(e), len(form))
-                        if d and (len(e) < SHORT or share > (THRESHOLD if table is self.entries else CUT_THRESHOLD)):
-                            continue
-                        if best is None or (share, table[e][0]) < best:
-                            best = (share, table[e][0])
+                got = self._closest(form, trees, table, most if best is None else best[0])
+                if got is not None and (best is None or got < best):
+                    best = got
             if best is not None:
                 return best[1], best[0]
         return None
 
+    @staticmethod
+    def _closest(form: str, trees: list[BKTree], table: dict[str, tuple[int, str]], most: float) -> tuple[float, int] | None:
+        """(share, term id) of the closest entry at a share of at most ``most``: the
+        winners of the shards, merged. The radius grows until no entry outside it can
+        be closer; an entry of another length has at least that distance, so a share
+        of s reaches no further than s / (1 - s) of the form's length."""
+        last = int(most / (1 - most) * len(form) + 1e-9)
+        best, radius = None, min(2, last)
+        while True:
+            for tree in trees:
+                for d, e in tree.within(form, radius):
+                    share = d / max(len(e), len(form))
+                    if share <= most and (not d or len(e) >= SHORT) and (best is None or (share, table[e][0]) < best):
+                        best = (share, table[e][0])
+            reach = last if best is None else min(last, int(best[0] / (1 - best[0]) * len(form) + 1e-9))
+            if radius >= reach:
+                return best
+            radius = reach if best is not None else min(last, 2 * radius + 1)
+
 
 class Reference:
     """Matchers by field; what a task found for a value is kept."""
