@@ -158,6 +158,39 @@ def slices(texts: pa.Array, most: int = 16_000_000) -> Iterator[tuple[int, int]]
         yield at, len(sizes) - at
 
 
+#: The pre-token pattern in the JVM's dialect.
+_JVM_PATTERN = r"(?U)'(?:s|t|re|ve|m|ll|d)| ?(?:\p{L}++|\p{N}++|[^\s\p{L}\p{N}]++)|\s+(?!\S)|\s++"
+
+
+def word_table(words: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
+    """``word``, ``n`` (how often it occurs) and ``ids`` of the distinct words of a
+    corpus, each encoded once; counts combine map-side."""
+    distinct = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(folder, name).encode_ordinary
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([encode(w) for w in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "n", "ids"])
+
+    return distinct.mapInArrow(run, "word string, n bigint, ids array<int>")
+
+
+def split_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``pos`` and ``word`` of every pre-token, split inside the JVM. Code
+    points that the JVM's Unicode version does not know yet count as symbols."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.regexp_extract_all(text, F.lit(_JVM_PATTERN), F.lit(0))).alias("pos", "word"))
+
+
+def encode_by_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
+    """``encode_corpus`` with one word table for the whole corpus: all words are joined
+    to their ids and brought back to their documents by position. Every word of the
+    corpus is shuffled twice (README has the figures); ``doc_id`` must be unique."""
+    words = split_words(docs, doc_id, text)
+    back = words.join(word_table(words, folder, name).drop("n"), "word").groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
+    ids = docs.select(F.col(doc_id).alias("doc_id")).join(back, "doc_id", "left")
+    return ids.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+
+
 def pieces_table(spark: SparkSession, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """``id``, ``piece`` (binary) of the vocabulary; its size is the vocabulary's."""
     ranks = load_ranks(folder, name)

@@ -45,6 +45,15 @@ def test_corpus_round_trip(spark):
     assert tokens.encode_corpus(docs.limit(0)).count() == 0
 
 
+def test_one_table_for_the_corpus_agrees(spark):
+    docs = spark.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in tokens.encode_by_join(docs).collect()}
+    assert got == {i: ENC.encode_ordinary(t or "") for i, t in enumerate(TRICKY)}
+    words = {r["word"]: (r["n"], r["ids"]) for r in tokens.word_table(tokens.split_words(docs)).collect()}
+    assert words[" word"] == (1999, ENC.encode_ordinary(" word"))
+    assert tokens.encode_by_join(docs.limit(0)).count() == 0
+
+
 def test_unknown_ids_decode_to_null(spark):
     df = spark.createDataFrame([(1, [99_999]), (2, [])], "doc_id long, ids array<int>")
     assert {r["doc_id"]: r["text"] for r in tokens.decode_corpus(df, tokens.pieces_table(spark)).collect()} == {1: None, 2: ""}
