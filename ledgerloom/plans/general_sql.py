@@ -45,4 +45,28 @@ v AS (SELECT ticker, period, concept, CASE t
     WHEN 'double' THEN CASE WHEN regexp_full_match(x, '[+-]?(\\d+([.,]\\d*)?|[.,]\\d+)([eE][+-]?\\d+)?') THEN CAST(TRY_CAST(replace(x, ',', '.') AS DOUBLE) + 0.0 AS VARCHAR) END END AS v FROM d)
 SELECT ticker, period, concept FROM v GROUP BY ticker, period, concept HAVING count(DISTINCT v) > 1"""
 
-SQL: dict[str, str] = {"p2_found": _P2, "p4_found": _P4}
+# a list stands for itself, a single object for a list of one
+_LIST = "CASE json_type({0}) WHEN 'ARRAY' THEN {0} WHEN 'OBJECT' THEN json_array({0}) ELSE CAST('[]' AS JSON) END"
+_RESULTS, _ATTACHMENTS = _LIST.format("json_extract(b, '$.Results')"), _LIST.format("json_extract(r, '$.Attachments')")
+_SHEETS, _ITEMS = _LIST.format("json_extract(b, '$.sheets')"), _LIST.format("json_extract(s, '$.items')")
+
+
+def _unwrapped(x: str) -> str:
+    """The JSON in a text, out of one wrapping as a string; null when it isn't complete."""
+    text = f"ltrim({x}, chr(65279))"
+    inner = f"ltrim(json_extract_string({text}, '$'), chr(65279))"
+    return f"CASE WHEN NOT coalesce(json_valid({text}), false) THEN NULL WHEN json_type({text}) <> 'VARCHAR' THEN CAST({text} AS JSON) WHEN json_valid({inner}) THEN CAST({inner} AS JSON) END"
+
+
+_P5 = f"""WITH a AS (SELECT DISTINCT response_id AS k, {_unwrapped("body")} AS b FROM report_responses),
+r AS (SELECT k, {_RESULTS} AS l FROM a WHERE json_type(b) = 'OBJECT'),
+x AS (SELECT k, CAST(i AS INTEGER) AS o, json_extract(l, '$[' || i || ']') AS r FROM (SELECT k, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS i FROM r)),
+y AS (SELECT k, o, {_ATTACHMENTS} AS l FROM x WHERE json_type(r) = 'OBJECT'),
+f AS (SELECT DISTINCT file_id AS k, CAST(body AS JSON) AS b FROM statement_files WHERE json_valid(body)),
+g AS (SELECT k, {_SHEETS} AS l FROM f),
+h AS (SELECT k, CAST(i AS INTEGER) AS o, json_extract(l, '$[' || i || ']') AS s FROM (SELECT k, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS i FROM g)),
+z AS (SELECT k, o, {_ITEMS} AS l FROM h WHERE json_type(s) = 'OBJECT'),
+u AS (SELECT 'response' AS src, k, o, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS j FROM y UNION ALL SELECT 'statement', k, o, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) FROM z)
+SELECT DISTINCT src, k AS parent_id, o AS outer_no, CAST(j AS INTEGER) AS inner_no FROM u WHERE json_type(json_extract(l, '$[' || j || ']')) = 'OBJECT'"""
+
+SQL: dict[str, str] = {"p2_found": _P2, "p4_found": _P4, "p5_found": _P5}
