@@ -46,12 +46,8 @@ def p7_words(spark: SparkSession, d: str) -> DataFrame:
     return tokens.word_table(tokens.split_words(table(spark, d, "documents")))
 
 
-def p7_joined(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode_by_join(table(spark, d, "documents"))
-
-
 def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.decode_corpus(p7_ids(spark, d), tokens.pieces_table(spark))
+    return tokens.decode_corpus(p7_ids(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +66,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_corpus(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_mapped, p6_unmatched, p7_ids, p7_words, p7_joined, p7_decoded, p8_found, p8_templates, p9_found, p9_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_mapped, p6_unmatched, p7_ids, p7_words, p7_decoded, p8_found, p8_templates, p9_found, p9_pieces)}
 
 ORACLE: dict[str, str] = {
     # a document's text comes back from its ids; null texts as empty ones

@@ -198,8 +198,38 @@ def pieces_table(spark: SparkSession, folder: str = TOKENIZERS, name: str = VOCA
     return spark.createDataFrame(rows)
 
 
-def decode_corpus(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` back from ids, through an id-to-piece join by position.
+def decode_corpus(encoded: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
+    """``doc_id`` and ``text`` back from ids, without a shuffle.
+
+    A batch's ids are joined to their pieces by one vectorised take; pieces lie end to
+    end, so a text is the bytes between the first piece of its row and the last. Null
+    and empty lists give the empty text; an id that is no piece gives a null text, and
+    bytes that are no UTF-8 (a list cut inside a character) the replacement character."""
+    kind = dict(encoded.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = load_ranks(folder, name)
+        pieces = [b""] * (max(ranks.values()) + 2)  # the last stands for ids that are no piece
+        for piece, i in ranks.items():
+            pieces[i] = piece
+        known, table = np.array([p != b"" for p in pieces]), pa.array(pieces, pa.large_binary())
+        for b in batches:
+            lists = pc.fill_null(b.column(1), [])
+            starts = lists.offsets.to_numpy()
+            flat = pc.fill_null(lists.values, -1).to_numpy(zero_copy_only=False)
+            flat = np.where((flat < 0) | (flat >= len(pieces) - 1), len(pieces) - 1, flat)
+            taken = table.take(pa.array(flat))
+            ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+            data = (taken.buffers()[2] or pa.py_buffer(b"")).to_pybytes() if len(taken) else b""
+            unknown = np.concatenate([[0], np.cumsum(~known[flat])]) if len(flat) else np.zeros(1, np.int64)
+            texts = [data[ends[s] : ends[e]].decode("utf-8", "replace") if unknown[s] == unknown[e] else None for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
+
+
+def decode_by_join(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``decode_corpus`` as a join of exploded ids with the table of pieces.
 
     An empty list gives the empty text; an id that is no piece gives a null text.
     The vocabulary is the bounded side of the join; documents meet again in one

@@ -40,8 +40,8 @@ def test_corpus_round_trip(spark):
     found = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["ids"]) for r in got.collect())
     assert found == sorted((i if i is not None else -1, ENC.encode_ordinary(t or "")) for i, t, _ in rows)
     distinct = tokens.encode_corpus(docs.where("ids = 'clash'"))
-    back = {r["doc_id"]: r["text"] for r in tokens.decode_corpus(distinct, tokens.pieces_table(spark)).collect()}
-    assert back == {i: t or "" for i, t in enumerate(TRICKY)}
+    for decoded in (tokens.decode_corpus(distinct), tokens.decode_by_join(distinct, tokens.pieces_table(spark))):
+        assert {r["doc_id"]: r["text"] for r in decoded.collect()} == {i: t or "" for i, t in enumerate(TRICKY)}
     assert tokens.encode_corpus(docs.limit(0)).count() == 0
 
 
@@ -55,8 +55,12 @@ def test_one_table_for_the_corpus_agrees(spark):
 
 
 def test_unknown_ids_decode_to_null(spark):
-    df = spark.createDataFrame([(1, [99_999]), (2, [])], "doc_id long, ids array<int>")
-    assert {r["doc_id"]: r["text"] for r in tokens.decode_corpus(df, tokens.pieces_table(spark)).collect()} == {1: None, 2: ""}
+    df = spark.createDataFrame([(1, [99_999]), (2, []), (3, None), (4, [64, -1]), (5, [64])], "doc_id long, ids array<int>")
+    got = {r["doc_id"]: r["text"] for r in tokens.decode_corpus(df).collect()}
+    assert got == {1: None, 2: "", 3: "", 4: None, 5: ENC.decode([64])}
+    assert tokens.decode_corpus(df.limit(0)).count() == 0
+    joined = tokens.decode_by_join(df.where("doc_id in (1, 2)"), tokens.pieces_table(spark))
+    assert {r["doc_id"]: r["text"] for r in joined.collect()} == {1: None, 2: ""}
 
 
 def check(text: str, limit: int, overlap: int) -> list:
