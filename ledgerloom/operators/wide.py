@@ -73,7 +73,7 @@ def wide_table(cell: DataFrame, attributes: list[tuple[str, str]], entity: tuple
     order = {t: [i for i, (_, k) in enumerate(attributes) if k == t] for t in READERS}
     place = {i: k for cols in order.values() for k, i in enumerate(cols)}
 
-    def emit(t: pa.Table, entity_types: list[pa.DataType]) -> pa.RecordBatch:
+    def emit(t: pa.Table) -> pa.RecordBatch:
         keys = [t.column(i).combine_chunks() for i in range(width)]
         # rows are sorted by entity: a new code wherever a key column changes
         codes = [k.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for k in keys]
@@ -119,14 +119,12 @@ def wide_table(cell: DataFrame, attributes: list[tuple[str, str]], entity: tuple
             while cut and [held.column(i)[cut - 1].as_py() for i in range(width)] == last:
                 cut -= 1
             if cut:
-                yield emit(held.slice(0, cut), [])
+                yield emit(held.slice(0, cut))
                 held = held.slice(cut)
         if held is not None and held.num_rows:
-            yield emit(held, [])
+            yield emit(held)
 
     schema = ", ".join([*(f"`{e}` {kinds[e]}" for e in entity), *(f"`{x}` {SPARK_TYPES[k]}" for x, (_, k) in zip(names, attributes, strict=True)), "conflicts array<string>"])
-    src = cell.select(*entity, "concept", "data_type", *READERS_COLUMNS, "conflict")
+    src = cell.select(*entity, "concept", "data_type", *[f"_{t}" for t in READERS], "conflict")
     return src.repartition(*entity).sortWithinPartitions(*entity, "concept").mapInArrow(run, schema)
 
-
-READERS_COLUMNS = [f"_{t}" for t in READERS]
