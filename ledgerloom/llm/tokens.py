@@ -1,13 +1,14 @@
 """Encoding a whole corpus with a public byte-level BPE, and back.
 
-The tokenizer's own pattern starts a new pre-token at every blank that stands
-before a non-blank, so a text falls apart at its blanks into *words* that encode
-independently: the ids of the text are those of its words in order. A corpus has
-few distinct words, so each Arrow batch is split into words, the words are
-dictionary-encoded into a distinct-word table, only words the task has not met yet
-are encoded, and ids are joined back by position as one vectorised take. No text
-is shuffled: the table of a task is bounded by ``TABLE_WORDS``, and a corpus-wide
-table would have to move every word of the corpus twice (see README).
+A text's ids are those of its pre-tokens in order, and a corpus has few distinct
+ones. ``encode_corpus`` splits words in the JVM, encodes each distinct word of the
+corpus once, and joins ids back by position: the frequent words' table (bounded by
+``SHARED_WORDS``) lies in every task, so each batch of texts is one vectorised
+lookup and take, and no text is shuffled. ``encode_by_join`` does the same with
+nothing but joins.
+
+``WordTable`` serves passes that have no table beforehand: it splits at blanks (a
+blank before a non-blank always starts a pre-token) and keeps what a task has met.
 """
 
 from __future__ import annotations
@@ -30,6 +31,12 @@ VOCABULARY = "byte_bpe_50k"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words a task keeps; beyond it the table starts anew and words met again are encoded again.
 TABLE_WORDS = 1_000_000
+#: Words of the corpus-wide table that go to every task: some tens of MB at most.
+SHARED_WORDS = 500_000
+#: The pre-token pattern in the JVM's dialect.
+_JVM_PATTERN = r"(?U)'(?:s|t|re|ve|m|ll|d)| ?(?:\p{L}++|\p{N}++|[^\s\p{L}\p{N}]++)|\s+(?!\S)|\s++"
+#: Code points that the JVM's Unicode version does not know; texts with any are encoded whole.
+_JVM_UNKNOWN = r"\p{Cn}"
 #: Words longer than this are encoded but not kept.
 LONGEST_KEPT = 64
 #: Other white space than blanks. Where it meets two blanks, or stands on both sides
@@ -127,24 +134,65 @@ class WordTable:
         return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
-def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
+def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = VOCABULARY, most: int = SHARED_WORDS) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) of every row, without special tokens.
 
+    Words are split in the JVM; the corpus's distinct words are each encoded once; the
+    ``most`` frequent of them go to the tasks, where ids are joined back by position. A
+    word beyond them (fewer occurrences each) is encoded where it stands.
     Null and empty texts have the defined ids of an empty list. A text is encoded
     whole, however long; strings of special tokens are ordinary text. Rows come out
     one for one, rows with a null id too; other columns are not read."""
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    frequent = word_table(split_words(docs, doc_id, text), folder, name).orderBy(F.desc("n"), "word").select("word", "ids").limit(most).toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(frequent.combine_chunks())
+    t = F.col(text).cast("string")
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.regexp_extract_all(t, F.lit(_JVM_PATTERN), F.lit(0)).alias("words"), F.when(t.rlike(_JVM_UNKNOWN), t).alias("odd"))
     kind = dict(src.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(encoder(folder, name).encode_ordinary)
+        encode = encoder(folder, name).encode_ordinary
+        joiner = WordJoin(shared.value, WordTable(encode))
         for b in batches:
-            for at, n in slices(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), table.encode_batch(b.column(1).slice(at, n))], ["doc_id", "ids"])
+            ids, odd = joiner.join(b.column(1)), b.column(2)
+            if odd.null_count < len(odd):
+                ids = pa.array([encode(o) if o is not None else i for i, o in zip(ids.to_pylist(), odd.to_pylist(), strict=True)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
 
     return src.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
+class WordJoin:
+    """Words of texts to ids, by position, with a table of words."""
+
+    def __init__(self, table: pa.Table, rest: WordTable) -> None:
+        one = lambda c, kind: table.column(c).combine_chunks() if table.num_rows else pa.array([], kind)
+        words, ids = one("word", pa.string()), one("ids", pa.list_(pa.int32()))
+        self.words, self.rest = words.cast(pa.string()), rest
+        self.sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.pool = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+
+    def join(self, lists: pa.ListArray) -> pa.ListArray:
+        lists = pc.fill_null(lists, [])
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
+        bounds = bounds - bounds[0]
+        at = pc.index_in(words, value_set=self.words)
+        which = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes, pool = self.sizes, self.pool
+        missing = np.flatnonzero(which < 0)
+        if len(missing):
+            rare = words.take(pa.array(missing)).dictionary_encode()
+            got = [self.rest.ids(w) for w in rare.dictionary.to_pylist()]
+            which[missing] = len(sizes) + rare.indices.to_numpy(zero_copy_only=False)
+            sizes = np.concatenate([sizes, [len(g) for g in got]]).astype(np.int64)
+            pool = np.concatenate([pool, np.fromiter(chain.from_iterable(got), np.int32)])
+        n = sizes[which]
+        starts, ends = (np.cumsum(sizes) - sizes)[which], np.cumsum(n)
+        flat = pool[np.repeat(starts - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[bounds]
+        return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+
 def slices(texts: pa.Array, most: int = 16_000_000) -> Iterator[tuple[int, int]]:
     """(start, length) parts of a batch of at most ``most`` bytes of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -158,10 +206,6 @@ def slices(texts: pa.Array, most: int = 16_000_000) -> Iterator[tuple[int, int]]
         yield at, len(sizes) - at
 
 
-#: The pre-token pattern in the JVM's dialect.
-_JVM_PATTERN = r"(?U)'(?:s|t|re|ve|m|ll|d)| ?(?:\p{L}++|\p{N}++|[^\s\p{L}\p{N}]++)|\s+(?!\S)|\s++"
-
-
 def word_table(words: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """``word``, ``n`` (how often it occurs) and ``ids`` of the distinct words of a
     corpus, each encoded once; counts combine map-side."""

@@ -10,7 +10,7 @@ from ledgerloom.llm import queries, split, tokens
 
 pytest.importorskip("tiktoken")
 ENC = tokens.encoder()
-TRICKY = [None, "", " ", "  ", "\n", " \n ", "a  b", "a   b", "a \n b", "x\n\n  y", "tab\t\tx  ", "don't we'll", "１２ ﬁ　x", "👷🏽‍♀️ é", "<|endoftext|> x", "a" * 5000, " " * 300 + "x", "word " * 2000, "\x85 x", "\x1c y  z", "Kas   1.234   (5)"]
+TRICKY = [None, "", " ", "  ", "\n", " \n ", "a  b", "a   b", "a \n b", "x\n\n  y", "tab\t\tx  ", "don't we'll", "１２ ﬁ　x", "👷🏽‍♀️ é", "<|endoftext|> x", "a" * 5000, " " * 300 + "x", "word " * 2000, "\x85 x", "\x1c y  z", "Kas   1.234   (5)", "new \U0001fae8 letter \U00011f04\U00011f05 end", "\U0001e030x"]
 
 
 def test_batch_equals_the_tokenizer():
@@ -39,6 +39,9 @@ def test_corpus_round_trip(spark):
     assert got.dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
     found = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["ids"]) for r in got.collect())
     assert found == sorted((i if i is not None else -1, ENC.encode_ordinary(t or "")) for i, t, _ in rows)
+    for most in (0, 3):  # words beyond the shared table
+        few = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["ids"]) for r in tokens.encode_corpus(docs, most=most).collect())
+        assert few == found
     distinct = tokens.encode_corpus(docs.where("ids = 'clash'"))
     for decoded in (tokens.decode_corpus(distinct), tokens.decode_by_join(distinct, tokens.pieces_table(spark))):
         assert {r["doc_id"]: r["text"] for r in decoded.collect()} == {i: t or "" for i, t in enumerate(TRICKY)}
