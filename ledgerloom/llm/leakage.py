@@ -48,6 +48,8 @@ _HINTS = ("Page ", "page ", "PAGE ", "alaman ", "ALAMAN ", "hal ", "Hal ", "hal.
 #: Characters without a form of their own (zero width and the like).
 _FORMAT = {chr(c) for c in (*range(0x110), *range(0x600, 0x2070), *range(0xFE00, 0x10000), *range(0xE0000, 0xE0080)) if unicodedata.category(chr(c)) == "Cf"}
 _HYPHEN = re.compile(r"(?<=\w)[-‐­]\s*\n\s*(?=[^\W\d])")
+#: Quotes, brackets and the like before a word.
+_LEAD = re.compile(r"^[\W_]+")
 _LINES = ("\r\n", "\r", "\x0b", "\f", "\x85", "\u2028", "\u2029")
 
 
@@ -105,9 +107,9 @@ class ItemIndex:
         texts = [[f for _, f in ws] for _, ws in raw]
         self.code = {w: i + 4 for i, w in enumerate(sorted({w for t in texts for w in t}))}
         # names: words that never stand in lower case in the items
-        lower = {f for _, ws in raw for t, f in ws if not t[:1].isupper() and not t[1:2].isupper()}
+        lower = {f for _, ws in raw for t, f in ws if not (s := _LEAD.sub("", t))[:1].isupper() and not s[1:2].isupper()}
         first = {ws[i][1] for _, ws in raw for i in range(len(ws)) if i == 0 or ws[i - 1][0][-1:] in ".!?"}
-        mid = {ws[i][1] for _, ws in raw for i in range(1, len(ws)) if ws[i - 1][0][-1:] not in ".!?" and ws[i][0][:1].isupper()}
+        mid = {ws[i][1] for _, ws in raw for i in range(1, len(ws)) if ws[i - 1][0][-1:] not in ".!?" and _LEAD.sub("", ws[i][0])[:1].isupper()}
         self.names = {w for w in mid - lower if w not in UNITS and not w[:1].isdigit()} - (first - mid)
         self.texts = [[self.code[w] for w in t] for t in texts]
         slot = self.slot_of()
@@ -124,7 +126,9 @@ class ItemIndex:
         left = np.diff(at)[item] - place  # words from here to the item's end
         self.seeds = self._index(exact, item, place, left >= SEED, SEED)
         template = np.where(slot[exact] < _OTHER, slot[exact], exact) if len(exact) else exact
-        self.templates = self._index(template, item, place, left >= TEMPLATE, TEMPLATE)
+        self.form = np.full(len(self.padded), _GAP + 1, np.int32)  # as padded, slots by type
+        self.form[self.padded_at[item] + place] = template
+        self.templates = self._templates(template, item, place, np.flatnonzero(left >= TEMPLATE))
         self.n_windows = len(self.seeds[0])
 
     def slot_of(self) -> np.ndarray:
@@ -135,6 +139,29 @@ class ItemIndex:
             out[c] = slot_type(w, w in self.names)
         return out
 
+    def _templates(self, template: np.ndarray, item: np.ndarray, place: np.ndarray, todo: np.ndarray) -> dict[int, tuple]:
+        """By width, the run of words other than names that seeds each template window:
+        of at most ``SEED`` words, the one with the most fixed words. Its place is
+        window * TEMPLATE + offset. A window of names alone fixes nothing and has none."""
+        names, fixed = (np.concatenate([[0], np.cumsum(x)]) for x in (template == _NAME, template > _OTHER))
+        out = {}
+        for width in range(SEED, 0, -1):
+            best, off = np.full(len(todo), -1), np.zeros(len(todo), np.int64)
+            for o in range(TEMPLATE - width + 1):
+                at = todo + o
+                score = np.where(names[at + width] == names[at], fixed[at + width] - fixed[at], -1)
+                off = np.where(score > best, o, off)
+                best = np.maximum(best, score)
+            ok = best >= 0
+            if ok.any():
+                begin, o = todo[ok], off[ok]
+                h = window_hash(template, width)[begin + o]
+                order = np.argsort(h, kind="stable")
+                key, start = np.unique(h[order], return_index=True)
+                out[width] = h[order], item[begin][order], (place[begin] * TEMPLATE + o)[order], key, np.concatenate([start, [len(h)]])
+            todo = todo[~ok]
+        return out
+
     @staticmethod
     def _index(codes: np.ndarray, item: np.ndarray, place: np.ndarray, ok: np.ndarray, width: int) -> tuple:
         h = window_hash(codes, width)
@@ -167,7 +194,7 @@ def window_hash(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 class _Codes(dict):
-    """Raw token to code: its item word's, or one of the four unknown types; -1 for none."""
+    """Raw token to code: its item word's, or the slot type of an unknown word; -1 for none."""
 
     LIMIT = 1_000_000
 
@@ -182,7 +209,7 @@ class _Codes(dict):
         else:
             code = self.index.code.get(w)
             if code is None:
-                code = slot_type(w, token[:1].isupper() and token[1:2].islower())
+                code = slot_type(w, True)  # whatever its case
         if len(self) < self.LIMIT:
             self[token] = code
         return code
@@ -299,6 +326,45 @@ def _enough(flat: np.ndarray, index: ItemIndex, pos: np.ndarray, item: np.ndarra
     return (total[:, least:] - total[:, :-least]).max(axis=1) >= least - edits
 
 
+def template_runs(flat: np.ndarray, kind: np.ndarray, bounds: np.ndarray, index: ItemIndex) -> Iterator[tuple[int, int, list[tuple]]]:
+    """(row, item, runs) of the template windows that agree; windows that overlap
+    or touch on one diagonal are a run: (position, item place, windows, inner).
+    ``inner`` is the part, from the run's first word on, in which names count: between
+    the first and the last agreeing word other than a name, or to the item's ends."""
+    form = np.where((kind == _NUMBER) | (kind == _UNIT), kind, flat)
+    off = np.arange(TEMPLATE)
+    hits = []
+    for width, seeds in index.templates.items():
+        pos, item, place = _matches(window_hash(form, width), seeds)
+        for lo in range(0, len(pos), 100_000):
+            part = slice(lo, lo + 100_000)
+            q, o = np.divmod(place[part], TEMPLATE)
+            p, i = pos[part] - o, item[part]
+            want = index.form[(index.padded_at[i] + q)[:, None] + off]
+            at = p[:, None] + off
+            ok = np.where(want == _NAME, kind[at] >= _NAME, form[at] == want).all(axis=1)
+            hits.append(np.stack([np.searchsorted(bounds, p[ok], "right") - 1, i[ok], p[ok] - q[ok], p[ok]]))
+    if not hits:
+        return
+    hits = np.concatenate(hits, axis=1)
+    hits = hits[:, np.lexsort(hits[::-1])]
+    new = np.ones(hits.shape[1], bool)
+    new[1:] = (hits[:3, 1:] != hits[:3, :-1]).any(axis=0) | (hits[3, 1:] > hits[3, :-1] + TEMPLATE)
+    begin = np.flatnonzero(new)
+    last, runs = None, []
+    end = np.append(begin[1:], hits.shape[1]) - 1
+    for (k, i, d, p), n in zip(hits[:, begin].T.tolist(), (hits[3, end] - hits[3, begin] + 1).tolist(), strict=True):
+        if (k, i) != last:
+            if runs:
+                yield *last, runs
+            last, runs = (k, i), []
+        q, size = p - d, n + TEMPLATE - 1
+        sure = np.flatnonzero(index.form[index.padded_at[i] + q :][:size] != _NAME)
+        runs.append((p, q, n, (0 if not q else int(sure[0]), size if q + size == len(index.texts[i]) else int(sure[-1]) + 1)))
+    if runs:
+        yield *last, runs
+
+
 def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[ItemIndex]:
     """The stated items in blocks whose windows fit a task; rows sent again count once."""
     block, size = [], 0
@@ -363,30 +429,33 @@ def find_templates(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
 
     A window counts if its fixed words agree, at least one slot differs, and the
     slots are consistent: one value of the item always maps to one value of the
-    document and back. Unknown values of one type count as one value."""
+    document and back. Unknown values of one type count as one value. A number or
+    unit stands for one of its type, a name for any other word, whatever its case:
+    in upper-case passages nothing tells names. A name at the end of a run of agreeing
+    windows, with no agreeing word beyond, is not counted unless the item ends there."""
     slots: dict = {}
 
     def each(b: pa.RecordBatch, index: ItemIndex, codes: _Codes) -> pa.RecordBatch:
         slot = slots.setdefault(id(index), index.slot_of())
         flat, bounds = _documents(b, codes, TEMPLATE)
-        # names of the corpus that no item knows take the slot of a name, numbers that of a number
-        template = np.where((flat >= 0) & (slot[flat] < _OTHER), slot[flat], np.where(flat == _OTHER, _GAP, flat))
-        pos, item, place = _matches(window_hash(template, TEMPLATE), index.templates)
-        doc = np.searchsorted(bounds, pos, "right") - 1
+        kind = np.where(flat >= 0, slot[np.maximum(flat, 0)], _GAP)
         got: dict[tuple[int, int], list[int]] = {}
-        for k, p, i, q in zip(doc.tolist(), pos.tolist(), item.tolist(), place.tolist(), strict=True):
-            there, back, n, changed = {}, {}, 0, 0
-            for x, y in zip(index.texts[i][q : q + TEMPLATE], flat[p : p + TEMPLATE].tolist(), strict=True):
-                if slot[x] >= _OTHER:
-                    continue
-                n += 1
-                changed += x != y
-                if there.setdefault(x, y) != y or (y > _OTHER and back.setdefault(y, x) != x):
-                    break
-            else:
-                if changed:
-                    s = got.setdefault((k, i), [0, 0, 0])
-                    s[0], s[1], s[2] = s[0] + 1, s[1] + n, s[2] + changed
+        for k, i, runs in template_runs(flat, kind, bounds, index):
+            for p, q, n, inner in runs:
+                for w in range(n):
+                    there, back, slots_, changed = {}, {}, 0, 0
+                    for at in range(w, w + TEMPLATE):
+                        x, y = index.texts[i][q + at], int(flat[p + at])
+                        if slot[x] >= _OTHER or slot[x] == _NAME and not inner[0] <= at < inner[1]:
+                            continue
+                        slots_ += 1
+                        changed += x != y
+                        if there.setdefault(x, y) != y or (y > _OTHER and back.setdefault(y, x) != x):
+                            break
+                    else:
+                        if changed:
+                            s = got.setdefault((k, i), [0, 0, 0])
+                            s[0], s[1], s[2] = s[0] + 1, s[1] + slots_, s[2] + changed
         rows = sorted(got)
         keys = b.column(0).take(pa.array([k for k, _ in rows], pa.int64()))
         return pa.RecordBatch.from_arrays([keys, pa.array([index.ids[i] for _, i in rows], pa.int64()), *(pa.array([got[r][c] for r in rows], pa.int32()) for c in range(3))], ["doc_id", "item_id", "n_windows", "n_slots", "n_changed"])

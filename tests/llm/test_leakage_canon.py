@@ -102,6 +102,22 @@ def test_templates(spark):
     assert 1 in got and 2 not in got and 4 not in got
 
 
+def templates(spark, docs, items):
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return {r["doc_id"]: (r["n_windows"], r["n_slots"], r["n_changed"]) for r in leakage.find_templates(d, i).collect()}
+
+
+def test_new_names_in_any_case_fill_slots(spark):
+    item = "The board cut the fee of Rovanka by 34.5 percent after the review at Sulimer and the court of Rovanka agreed in the end"
+    copy = item.replace("Rovanka", "Belmira").replace("34.5", "71.2").replace("Sulimer", "Kestar")
+    forms = {1: copy, 2: copy.upper(), 3: copy.lower(), 4: copy.replace("Belmira", "(Belmira)").replace("Kestar", '"Kestar"'), 5: copy.replace("Belmira", "BBCA").replace("Kestar", "eNd-x")}
+    got = templates(spark, list(forms.items()), [(9, item)])
+    assert set(got) == set(forms) and len(set(got.values())) == 1
+    # names of the item in brackets are names as well; a verbatim part is no changed one, whatever follows it
+    got = templates(spark, [(1, copy), (2, item.split(" at ")[0] + " at dawn on the coast")], [(9, item.replace("Rovanka", '("Rovanka")').replace("Sulimer", "(Sulimer)"))])
+    assert set(got) == {1}
+
+
 def test_found_holds_copies(spark, sf):
     got = {tuple(r) for r in queries.p8_found(spark, sf).collect()}
     texts = {r["doc_id"]: leakage.words(r["text"]) for r in queries.table(spark, sf, "documents").collect()}
