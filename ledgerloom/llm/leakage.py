@@ -9,12 +9,13 @@ tasks in blocks. Two joins share the pass:
 
 * slot-consistent windows (template and slot values agree) seed ``find_leaks``; an
   exact alignment then decides;
-* wide template windows whose slots disagree but map one to one seed
-  ``find_templates``: re-parameterised copies of an item.
+* wide template windows seed ``find_templates``: re-parameterised copies of an item,
+  whose slots disagree but map one to one over the whole passage.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -209,11 +210,33 @@ class _Codes(dict):
         else:
             code = self.index.code.get(w)
             if code is None:
-                code = slot_type(w, True)  # whatever its case
+                code = self.unknown(w)
         if len(self) < self.LIMIT:
             self[token] = code
         return code
 
+    def unknown(self, word: str) -> int:
+        return slot_type(word, True)  # whatever its case
+
+
+#: Least code of an unknown word's value.
+_VALUE = 1 << 62
+
+
+class _Values(_Codes):
+    """As ``_Codes``, but unknown words keep their values: a 60-bit hash and, in the
+    last two bits, the slot type."""
+
+    def unknown(self, word: str) -> int:
+        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return _VALUE | h >> 4 << 2 | slot_type(word, True)
+
+
+def kinds(flat: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """The slot type of each code of ``_Values``; ``_GAP`` between rows."""
+    known = slot[np.where((flat >= 0) & (flat < _VALUE), flat, 0)]
+    return np.where(flat >= _VALUE, flat & 3, np.where(flat >= 0, known, _GAP))
+
 
 def _matches(h: np.ndarray, index: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(corpus position, item, item position) of every window that agrees."""
@@ -272,13 +295,13 @@ def longest(a: list[int], b: list[int], seeds: list[tuple[int, int]], edits: int
     return most
 
 
-def _documents(b: pa.RecordBatch, codes: _Codes, pad: int) -> tuple[np.ndarray, np.ndarray]:
+def _documents(b: pa.RecordBatch, codes: _Codes, pad: int, kind: type = np.int32) -> tuple[np.ndarray, np.ndarray]:
     """(codes of all words of a batch, with ``pad`` codes that match nothing around
     every row; start of each row's words, then one end more)."""
-    gap = np.full(pad, _GAP, np.int32)
+    gap = np.full(pad, _GAP, kind)
     parts, bounds = [gap], [pad]
     for x in b.column(1).to_pylist():
-        arr = np.array(list(map(codes.__getitem__, canonical(x).split())) if x else [], np.int32)
+        arr = np.array(list(map(codes.__getitem__, canonical(x).split())) if x else [], kind)
         arr = arr[arr >= 0]
         parts += [arr, gap]
         bounds.append(bounds[-1] + len(arr) + pad)
@@ -365,6 +388,36 @@ def template_runs(flat: np.ndarray, kind: np.ndarray, bounds: np.ndarray, index:
         yield *last, runs
 
 
+def passages(runs: list[tuple]) -> list[list[tuple]]:
+    """The runs of a row and item put together to alignments: a run goes on where an
+    earlier one ended, in the item as in the document, if words dropped or added
+    between them shift it by at most ``EDITS``."""
+    out: list[list[tuple]] = []
+    last: dict[int, list[list[tuple]]] = {}  # passages by the diagonal of their last run
+    for r in sorted(runs):
+        diagonal, best = r[0] - r[1], None
+        for d in range(diagonal - EDITS, diagonal + EDITS + 1):
+            for passage in last.get(d, ()):
+                p, q, n, _ = passage[-1]
+                end = n + TEMPLATE - 1 - EDITS  # an added word can look like the next one
+                if r[0] >= p + end and r[1] >= q + end and (best is None or p > best[-1][0]):
+                    best, was = passage, d
+        if best is None:
+            out.append(best := [])
+        else:
+            last[was] = [x for x in last[was] if x is not best]
+        best.append(r)
+        last.setdefault(diagonal, []).append(best)
+    return out
+
+
+def slot_pairs(flat: np.ndarray, slot: np.ndarray, text: list[int], run: tuple) -> list[tuple[int, int, int]]:
+    """(place in the run, item word, document word) of the slots of a run that count."""
+    p, q, n, inner = run
+    here = zip(text[q : q + n + TEMPLATE - 1], flat[p : p + n + TEMPLATE - 1].tolist(), strict=True)
+    return [(at, x, y) for at, (x, y) in enumerate(here) if slot[x] < _NAME or slot[x] == _NAME and inner[0] <= at < inner[1]]
+
+
 def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[ItemIndex]:
     """The stated items in blocks whose windows fit a task; rows sent again count once."""
     block, size = [], 0
@@ -380,7 +433,7 @@ def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text")
         yield ItemIndex(block)
 
 
-def _scan(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, schema: str, each) -> DataFrame:
+def _scan(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, schema: str, each, coded: type[_Codes] = _Codes) -> DataFrame:
     """``each(batch, index, codes)`` over the corpus for every block of items."""
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     kinds = dict(src.dtypes)["doc_id"], dict(items.dtypes)[item_id]
@@ -390,7 +443,7 @@ def _scan(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: st
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            codes = _Codes(index)
+            codes = coded(index)
             for b in batches:
                 yield each(b, index, codes)
 
@@ -428,8 +481,8 @@ def find_templates(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
     slots, and those with another value).
 
     A window counts if its fixed words agree, at least one slot differs, and the
-    slots are consistent: one value of the item always maps to one value of the
-    document and back. Unknown values of one type count as one value. A number or
+    slots of the whole passage (``passages``) are consistent: one value of the item
+    always maps to one value of the document and back. A number or
     unit stands for one of its type, a name for any other word, whatever its case:
     in upper-case passages nothing tells names. A name at the end of a run of agreeing
     windows, with no agreeing word beyond, is not counted unless the item ends there."""
@@ -437,28 +490,27 @@ def find_templates(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
 
     def each(b: pa.RecordBatch, index: ItemIndex, codes: _Codes) -> pa.RecordBatch:
         slot = slots.setdefault(id(index), index.slot_of())
-        flat, bounds = _documents(b, codes, TEMPLATE)
-        kind = np.where(flat >= 0, slot[np.maximum(flat, 0)], _GAP)
+        flat, bounds = _documents(b, codes, TEMPLATE, np.int64)
         got: dict[tuple[int, int], list[int]] = {}
-        for k, i, runs in template_runs(flat, kind, bounds, index):
-            for p, q, n, inner in runs:
-                for w in range(n):
-                    there, back, slots_, changed = {}, {}, 0, 0
-                    for at in range(w, w + TEMPLATE):
-                        x, y = index.texts[i][q + at], int(flat[p + at])
-                        if slot[x] >= _OTHER or slot[x] == _NAME and not inner[0] <= at < inner[1]:
-                            continue
-                        slots_ += 1
-                        changed += x != y
-                        if there.setdefault(x, y) != y or (y > _OTHER and back.setdefault(y, x) != x):
-                            break
-                    else:
-                        if changed:
-                            s = got.setdefault((k, i), [0, 0, 0])
-                            s[0], s[1], s[2] = s[0] + 1, s[1] + slots_, s[2] + changed
+        for k, i, runs in template_runs(flat, kinds(flat, slot), bounds, index):
+            for passage in passages(runs):
+                pairs = [slot_pairs(flat, slot, index.texts[i], r) for r in passage]
+                there, back = {}, {}
+                if any(there.setdefault(x, y) != y or back.setdefault(y, x) != x for part in pairs for _, x, y in part):
+                    continue
+                for (_, _, n, _), part in zip(passage, pairs, strict=True):
+                    sums = np.zeros((2, n + TEMPLATE), np.int64)  # slots and changed ones before each place
+                    for at, x, y in part:
+                        sums[:, at + 1] = 1, x != y
+                    sums = sums.cumsum(axis=1)
+                    own = (sums[:, TEMPLATE:] - sums[:, :-TEMPLATE])[:, :n]
+                    own = own[:, own[1] > 0]
+                    if own.size:
+                        s = got.setdefault((k, i), [0, 0, 0])
+                        s[0], s[1], s[2] = s[0] + own.shape[1], s[1] + int(own[0].sum()), s[2] + int(own[1].sum())
         rows = sorted(got)
         keys = b.column(0).take(pa.array([k for k, _ in rows], pa.int64()))
         return pa.RecordBatch.from_arrays([keys, pa.array([index.ids[i] for _, i in rows], pa.int64()), *(pa.array([got[r][c] for r in rows], pa.int32()) for c in range(3))], ["doc_id", "item_id", "n_windows", "n_slots", "n_changed"])
 
-    found = _scan(docs, items, doc_id, text, item_id, item_text, "doc_id {0}, item_id bigint, n_windows int, n_slots int, n_changed int", each)
+    found = _scan(docs, items, doc_id, text, item_id, item_text, "doc_id {0}, item_id bigint, n_windows int, n_slots int, n_changed int", each, _Values)
     return found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))

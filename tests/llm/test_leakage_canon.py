@@ -118,6 +118,24 @@ def test_new_names_in_any_case_fill_slots(spark):
     assert set(got) == {1}
 
 
+def test_slots_map_one_to_one_over_the_passage(spark):
+    item = "The board cut the fee of Rovanka by 34.5 percent after the review at Sulimer and the court of Rovanka agreed in the end"
+    copy = item.replace("Rovanka", "Belmira").replace("34.5", "71.2").replace("Sulimer", "Kestar")
+    split = {2: item.replace("Rovanka", "Belmira", 1), 3: copy.replace("Belmira", "Dalgata", 1), 4: copy.replace("Kestar", "Belmira")}
+    # an added word, or a fixed word changed, cuts the windows but not the passage
+    long = "It paid 5 units of gas to the mill on the river in the spring of that year while the other plant was shut and sold 6 units of coal to the same mill on the hill in the autumn of that year"
+    two = long.replace("6 units", "5 units")
+    docs = {11: long.replace("5 ", "7 ").replace("6 ", "9 "), 12: long.replace("5 ", "7 ").replace("6 ", "7 "), 21: two.replace("5 ", "7 "), 22: two.replace("5 ", "7 ", 1).replace("5 ", "9 ")}
+    docs |= {k + 100: t.replace("plant was", "big plant was") for k, t in docs.items()} | {k + 200: t.replace("plant", "depot") for k, t in docs.items()}
+    got = templates(spark, [(1, copy), *split.items()], [(9, item)])
+    assert set(got) == {1}
+    assert {k for k in templates(spark, list(docs.items()), [(1, long)]) if k % 100 < 20} == {11, 111, 211}
+    assert {k for k in templates(spark, list(docs.items()), [(1, two)]) if k % 100 > 20} == {21, 121, 221}
+    # two copies with values of their own are two passages; a word added before a name is not its value
+    filler = " ".join(f"zz{chr(97 + i)}" for i in range(20))
+    assert set(templates(spark, [(1, f"{copy} {filler} {copy.replace('Belmira', 'Dalgata')}"), (2, copy.replace("of Belmira agreed", "of new Belmira agreed"))], [(9, item)])) == {1, 2}
+
+
 def test_found_holds_copies(spark, sf):
     got = {tuple(r) for r in queries.p8_found(spark, sf).collect()}
     texts = {r["doc_id"]: leakage.words(r["text"]) for r in queries.table(spark, sf, "documents").collect()}
