@@ -5,7 +5,7 @@ units and brackets off, abbreviations and synonyms spelled out, characters that
 scanners confuse folded together. On squashed forms the Levenshtein distance is a
 true metric, so a BK-tree prunes by the triangle inequality and returns every entry
 within the threshold. The reference is cut into shards, one tree each; the winners
-of the shards are merged by distance. Trees go to the tasks, and each task keeps
+of the shards are merged by stage and distance. Trees go to the tasks, and each task keeps
 what it found for values it has met, so a value on a third of all rows is looked up
 once a task and nothing is shuffled.
 """
@@ -196,6 +196,20 @@ def squash_exact(text: str) -> str:
     return "".join(c for c in text if c.isalnum())
 
 
+def entry_forms(exact: bool, aliases: dict[str, list[str]], term: str, alt: str | None) -> Iterator[tuple[str, str]]:
+    """(spelling, form) of an entry."""
+    for t in [term, alt, *aliases.get(term, ())]:
+        for f in () if not t else (squash_exact(t),) if exact else (squash(plain(t)), squash(plain(t), True)):
+            if f:
+                yield t, f
+
+
+def cut_forms(form: str) -> Iterator[str]:
+    """What a cut off value may keep of a form."""
+    for n in range(max(SHORT, int(CUT_OFF * len(form) + 0.999)), len(form)):
+        yield form[:n]
+
+
 @dataclass
 class Matcher:
     """The entries of one field."""
@@ -207,47 +221,48 @@ class Matcher:
     short: list[BKTree] = field(default_factory=list)
 
     def build(self, terms: list[tuple[int, str, str | None]]) -> Matcher:
-        forms = (lambda t: [squash_exact(t)]) if self.exact else (lambda t: [squash(plain(t)), squash(plain(t), True)])
         aliases = _period_aliases() if self.exact else {}
         for k, term, alt in sorted(terms, key=lambda x: x[0]):
-            for t in [term, alt, *aliases.get(term, ())]:
-                for f in forms(t) if t else ():
-                    if f:
-                        self.entries.setdefault(f, (k, t))
+            for t, f in entry_forms(self.exact, aliases, term, alt):
+                self.entries.setdefault(f, (k, t))
         if not self.exact:
             for s, at in list(self.entries.items()):
-                for n in range(max(SHORT, int(CUT_OFF * len(s) + 0.999)), len(s)):
+                for p in cut_forms(s):
                     # a cut off form that two entries share tells nothing
-                    p = s[:n]
                     if p in self.cut_off and self.cut_off[p][0] != at[0]:
                         self.cut_off[p] = (-1, "")
                     else:
                         self.cut_off.setdefault(p, at)
             for p in [p for p, at in self.cut_off.items() if at[0] < 0 or p in self.entries]:
                 del self.cut_off[p]
+        return self.plant()
+
+    def plant(self) -> Matcher:
+        """The trees of the forms."""
         whole, cuts = sorted(self.entries), sorted(self.cut_off)
         self.shards = [BKTree(whole[i::n]) for n in [max(1, -(-len(whole) // SHARD))] for i in range(n)]
         self.short = [BKTree(cuts[i::n]) for n in [max(1, -(-len(cuts) // SHARD))] for i in range(n)]
         return self
 
-    def find(self, value: str) -> tuple[int, float] | None:
-        """(term id, distance as a share of the entry's length) of the closest entry."""
+    def find(self, value: str) -> tuple[int, float, int] | None:
+        """(term id, distance as a share of the entry's length, stage) of the closest
+        entry: stage 1 for whole entries, 2 for cut off ones, which count after them."""
         if self.exact:
             form = squash_exact(value)
             got = [(d, self.entries[e][0]) for t in self.shards for d, e in t.within(form, 0)] if form else []
-            return (min(got)[1], 0.0) if got else None
+            return (min(got)[1], 0.0, 1) if got else None
         forms = readings(value)
         same = [self.entries[f][0] for f in forms if f in self.entries]
         if same:  # distance 0 can't be beaten
-            return min(same), 0.0
-        for trees, table, most in ((self.shards, self.entries, THRESHOLD), (self.short, self.cut_off, CUT_THRESHOLD)):
+            return min(same), 0.0, 1
+        for stage, trees, table, most in ((1, self.shards, self.entries, THRESHOLD), (2, self.short, self.cut_off, CUT_THRESHOLD)):
             best: tuple[float, int] | None = None
             for form in forms:
                 got = self._closest(form, trees, table, most if best is None else best[0])
                 if got is not None and (best is None or got < best):
                     best = got
             if best is not None:
-                return best[1], best[0]
+                return best[1], best[0], stage
         return None
 
     @staticmethod
@@ -270,38 +285,62 @@ class Matcher:
             radius = reach if best is not None else min(last, 2 * radius + 1)
 
 
+#: Fields whose entries are codes.
+CODES = ("report_period",)
+
+
 class Reference:
     """Matchers by field; what a task found for a value is kept."""
 
-    def __init__(self, rows: list[tuple[int, str, str, str | None]], codes: tuple[str, ...] = ("report_period",)) -> None:
+    def __init__(self, rows: list[tuple[int, str, str, str | None]], codes: tuple[str, ...] = CODES) -> None:
         by: dict[str, list[tuple[int, str, str | None]]] = {}
         for k, f, term, alt in rows:
             by.setdefault(f, []).append((k, term, alt))
         self.matchers = {f: Matcher(f in codes).build(terms) for f, terms in by.items()}
-        self.letters = {f: {t: k for k, *ts in terms for t in ts if t} for f, terms in by.items()}
+        # of equal entries the smaller id
+        self.letters = {f: {t: k for k, *ts in sorted(terms, key=lambda x: -x[0]) for t in ts if t} for f, terms in by.items()}
+
+    @classmethod
+    def of_forms(cls, rows: list[tuple[str, str, str, int]], codes: tuple[str, ...] = CODES) -> Reference:
+        """From (field, kind, form, term id): "entry", "cut" or, letter for letter, "letter"."""
+        self = cls([], codes)
+        for f, kind, form, k in rows:
+            if kind == "letter":
+                self.letters.setdefault(f, {})[form] = k
+            else:
+                m = self.matchers.setdefault(f, Matcher(f in codes))
+                (m.entries if kind == "entry" else m.cut_off)[form] = k, form
+        for m in self.matchers.values():
+            m.plant()
+        return self
 
-    def lookup(self, name: str, value: str | None, memo: dict) -> tuple[int | None, str, float | None]:
-        """(term id, how, share): how is "letter", "matched", "unmatched" or "empty"."""
+    def lookup(self, name: str, value: str | None, memo: dict) -> tuple[int | None, str, float | None, int | None]:
+        """(term id, how, share, stage): how is "letter" (stage 0), "matched" (1 or 2),
+        "unmatched" or "empty"."""
         if value is None or not value.strip():
-            return None, "empty", None
+            return None, "empty", None, None
         key = (name, value)
         got = memo.get(key)
         if got is None:
             if value in self.letters.get(name, {}):
-                got = (self.letters[name][value], "letter", 0.0)
+                got = (self.letters[name][value], "letter", 0.0, 0)
             elif (m := self.matchers.get(name)) and (hit := m.find(value)):
-                got = (hit[0], "matched", hit[1])
+                got = (hit[0], "matched", hit[1], hit[2])
             else:
-                got = (None, "unmatched", None)
+                got = (None, "unmatched", None, None)
             if len(memo) >= MEMO:
                 memo.clear()
             memo[key] = got
         return got
 
 
+def _stated(terms: DataFrame) -> DataFrame:
+    return terms.where(F.col("term").isNotNull()).groupBy("term_id", "field_name", "term").agg(F.max("alt_term").alias("alt_term"))
+
+
 def reference_rows(terms: DataFrame) -> list[tuple[int, str, str, str | None]]:
     """The reference list, its size checked; rows sent again count once."""
-    rows = terms.where(F.col("term").isNotNull()).groupBy("term_id", "field_name", "term").agg(F.max("alt_term").alias("alt_term")).limit(MOST_ENTRIES + 1).collect()
+    rows = _stated(terms).limit(MOST_ENTRIES + 1).collect()
     if len(rows) > MOST_ENTRIES:
         raise ValueError("the reference is too large for every task: use match_large")
     return [(r["term_id"], r["field_name"], r["term"], r["alt_term"]) for r in rows]
@@ -328,31 +367,63 @@ def match_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     return src.mapInArrow(run, f"field_name string, row_id {kind}, value string, term_id bigint, how string, share double")
 
 
+def reference_forms(terms: DataFrame) -> DataFrame:
+    """``field_name``, ``kind``, ``form``, ``term_id`` of a reference of any size, as
+    ``Reference.of_forms`` takes it. A form of several entries is the smaller id's; cut
+    off forms that entries share, or that are entries, are left out over the whole
+    reference, so a part of the rows decides as all of them do."""
+    rows = _stated(terms).select(F.col("term_id").cast("bigint").alias("term_id"), "field_name", "term", "alt_term")
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aliases = _period_aliases()
+        for b in batches:
+            yield _batch([(f, form, k) for k, f, term, alt in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True) for _, form in entry_forms(f in CODES, aliases if f in CODES else {}, term, alt)], ("field_name", "form", "term_id"))
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _batch([(f, p, k) for f, form, k in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) if f not in CODES for p in cut_forms(form)], ("field_name", "form", "term_id"))
+
+    schema = "field_name string, form string, term_id bigint"
+    entries = rows.mapInArrow(forms, schema).groupBy("field_name", "form").agg(F.min("term_id").alias("term_id"))
+    both = entries.withColumn("whole", F.lit(True)).unionByName(entries.mapInArrow(cuts, schema).withColumn("whole", F.lit(False)))
+    met = both.groupBy("field_name", "form").agg(F.max("whole").alias("whole"), F.min(F.when(F.col("whole"), F.col("term_id"))).alias("own"), F.min("term_id").alias("lo"), F.max("term_id").alias("hi"))
+    told = met.where(F.col("whole") | (F.col("lo") == F.col("hi"))).select("field_name", F.when(F.col("whole"), "entry").otherwise("cut").alias("kind"), "form", F.coalesce("own", "lo").alias("term_id"))
+    letters = rows.select("field_name", F.explode(F.array("term", "alt_term")).alias("form"), "term_id").where(F.col("form") != "").groupBy("field_name", "form").agg(F.min("term_id").alias("term_id"))
+    return told.unionByName(letters.select("field_name", F.lit("letter").alias("kind"), "form", "term_id"))
+
+
+def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    types = {"term_id": pa.int64(), "share": pa.float64(), "stage": pa.int32()}
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.string())) for n, c in zip(names, cols, strict=True)], list(names))
+
+
 def match_large(values: DataFrame, terms: DataFrame, shards: int = 64) -> DataFrame:
     """``match_values`` for a reference of any size, as (field_name, value, term_id, share)
-    of distinct values: every value meets every shard of the reference, each shard's
-    tree is built where its entries are, and the winners of the shards are merged.
-    Unmatched values come out with null."""
+    of distinct values: every value meets every shard of the reference's forms, each
+    shard's trees are built where its forms are, and the winners of the shards are
+    merged by (stage, share, term_id). What is shared between entries is settled before
+    (``reference_forms``), so the number of shards changes nothing. Unmatched values
+    come out with null."""
     distinct = values.where(F.trim("value") != "").select("field_name", "value").distinct()
-    a = distinct.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "field_name", "value", F.lit(None).cast("bigint").alias("term_id"), F.lit(None).cast("string").alias("term"), F.lit(None).cast("string").alias("alt_term"))
-    b = terms.where(F.col("term").isNotNull()).select(F.pmod(F.xxhash64("field_name", "term"), F.lit(shards)).cast("int").alias("shard"), "field_name", F.lit(None).cast("string").alias("value"), F.col("term_id").cast("bigint").alias("term_id"), "term", "alt_term").distinct()
+    a = distinct.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "field_name", "value", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("form"), F.lit(None).cast("bigint").alias("term_id"))
+    b = reference_forms(terms).select(F.pmod(F.xxhash64("field_name", "form"), F.lit(shards)).cast("int").alias("shard"), "field_name", F.lit(None).cast("string").alias("value"), "kind", "form", "term_id")
     spread = b.unionByName(a).repartition(shards, "shard").sortWithinPartitions("shard", F.col("value").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows, ref, memo = None, [], None, {}
         for b in batches:
             out = []
-            for s, f, v, k, t, alt in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for s, f, v, kind, form, k in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if s != shard:
                     shard, rows, ref, memo = s, [], None, {}
                 if v is None:
-                    rows.append((k, f, t, alt))
+                    rows.append((f, kind, form, k))
                     continue
-                ref = ref or Reference(rows)
+                ref = ref or Reference.of_forms(rows)
                 hit = ref.lookup(f, v, memo)
-                out.append((f, v, hit[0], hit[2]))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.float64()), strict=True)], ["field_name", "value", "term_id", "share"])
+                out.append((f, v, hit[0], hit[2], hit[3]))
+            yield _batch(out, ("field_name", "value", "term_id", "share", "stage"))
 
-    won = spread.mapInArrow(run, "field_name string, value string, term_id bigint, share double")
-    return won.groupBy("field_name", "value").agg(F.min(F.when(F.col("term_id").isNotNull(), F.struct("share", "term_id"))).alias("w")).select("field_name", "value", "w.term_id", "w.share")
+    won = spread.mapInArrow(run, "field_name string, value string, term_id bigint, share double, stage int")
+    return won.groupBy("field_name", "value").agg(F.min(F.when(F.col("term_id").isNotNull(), F.struct("stage", "share", "term_id"))).alias("w")).select("field_name", "value", "w.term_id", "w.share")

@@ -209,6 +209,24 @@ def test_large_reference_agrees(spark, terms):
     assert got == {(f, v): k for f, v, k, _ in CASES if v and v.strip()}
 
 
+@pytest.mark.parametrize("shards", [1, 7, 64])
+def test_large_reference_agrees_however_it_is_cut(spark, shards):
+    rng = random.Random(8)
+    stems = [["Trade", "Other", "Current", "Deferred"], ["tax", "lease", "loan"], ["receivables", "liabilities", "payables"], ["affiliate", "third party", "non-current", "related party", ""]]
+    names = ["Trade receivables", "Trade receivables affiliate", "Interest income of government bonds", "Interest income of government loans"] + sorted({" ".join(rng.choice(s) for s in stems).strip() for _ in range(40)})
+    rows = [(k, "label", t, None) for k, t in enumerate(names, 1)] + [(90, "label", "trade  RECEIVABLES", "Piutang usaha"), (91, "label", names[5], "Piutang lain"), (92, "label", "x", "Beban A"), (92, "label", "x", "Beban B yang lain"), (93, "report_period", "Q2", None)]
+    terms = spark.createDataFrame(rows, "term_id long, field_name string, term string, alt_term string")
+    values = ["Trade receivable", "Interest income of gove", "Beban A", "trade  RECEIVABLES", *names, *(t.upper() for t in names[:9])]
+    for t in names:
+        cut = t[: rng.randint(len(t) // 2, len(t))]
+        at = rng.randrange(len(cut))
+        values += [cut, cut[:at] + rng.choice("xyz") + cut[at + 1 :]]
+    df = spark.createDataFrame([("label", i, v) for i, v in enumerate(values)] + [("report_period", 999, "six months")], "field_name string, row_id long, value string")
+    want = {(r["field_name"], r["value"]): (r["term_id"], r["share"]) for r in canon.match_values(df, terms).collect()}
+    assert want["label", "Trade receivable"][0] == 1 and want["label", "Interest income of gove"][0] is None
+    assert {(r["field_name"], r["value"]): (r["term_id"], r["share"]) for r in canon.match_large(df, terms, shards=shards).collect()} == want
+
+
 def test_a_reference_too_large_for_tasks_is_refused(terms, monkeypatch):
     monkeypatch.setattr(canon, "MOST_ENTRIES", 3)
     with pytest.raises(ValueError):
