@@ -5,10 +5,10 @@ letter case, punctuation and character forms are gone. Words are then typed:
 numbers, units and names are slots of a template, all other words its fixed part.
 Item windows are hash-joined with the corpus's windows in one pass over the
 corpus, without a shuffle: the items' windows are small, checked, and go to the
-tasks in blocks. Two joins share the pass:
+tasks in blocks. Two joins are made so:
 
-* slot-consistent windows (template and slot values agree) seed ``find_leaks``; an
-  exact alignment then decides;
+* plain windows of five words seed ``find_leaks``, which a leak can't do without (a
+  template window it can); an exact alignment then decides;
 * wide template windows seed ``find_templates``: re-parameterised copies of an item,
   whose slots disagree but map one to one over the whole passage.
 """
