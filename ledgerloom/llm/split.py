@@ -3,8 +3,9 @@
 Sizes are tokens of a public tokenizer. A text within the limit is one piece. A
 larger one is encoded once; from each start the furthest cut within the limit is
 sought down a hierarchy of separators (section, paragraph, line, sentence, word,
-character): the first level with a boundary in the later half of the room gives
-the cut, its last boundary there. Each piece after the first begins with the last
+character): the first level with a boundary anywhere in the room gives the cut, its
+last boundary there. So a section that doesn't fit any more is left whole for the next
+piece, and only one larger than a piece is cut at the next level. Each piece after the first begins with the last
 ``overlap`` tokens of the piece before.
 """
 
@@ -88,7 +89,7 @@ def split_text(text: str, enc, limit: int = LIMIT, overlap: int = OVERLAP, ids:
         if done:
             # read on its own, the repeated part may encode longer, as it may begin inside a word
             room -= max(0, len(enc.encode_ordinary(text[starts[a] : starts[done]])) - (done - first)) if starts[done] >= 0 else 8
-        stop = len(ids) if len(ids) - done <= room else _cut(text, ends, done + room // 2, done + room)
+        stop = len(ids) if len(ids) - done <= room else _cut(text, ends, done, done + room)
         end = int(starts[stop]) if starts[stop] >= 0 else len(text)
         out.append((int(starts[a]), int(starts[done]), end, ids[first:stop]))
         if stop >= len(ids):

@@ -97,6 +97,15 @@ def test_cuts_stand_at_natural_boundaries():
     assert all(("word " * 500)[e - 1 : e + 1] in ("d ", " w") for _, _, e, _ in words[:-1])
 
 
+def test_boundaries_in_the_first_half_of_the_room_count():
+    prose = "Sentence one is here. Sentence two is there. " * 4
+    for before in (prose.strip() + "\n\n", prose, "word " * 20):
+        first = check(before + "x" * 9000, 100, 5)[0]
+        assert len(before) - 1 <= first[2] <= len(before)
+    section, paragraphs = "## One\n" + prose, "## Two\n" + (prose + "\n\n") * 8
+    assert check(section + "\n" + paragraphs, 120, 5)[0][2] == len(section) + 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.sampled_from("ab .\n漢é") | st.characters(codec="utf-8"), min_size=50, max_size=400))
 def test_any_text_is_covered(text):
