@@ -27,8 +27,10 @@ from ledgerloom.session import cut
 SIGMA = 1.0
 #: Log price of a unit switch.
 SWITCH = math.log(0.05)
-#: A (device, year) above this many facts is decoded in parts, split by filing.
+#: A device above this many facts is decoded in parts of about as many, cut at pins.
 CHUNK_ROWS = 50_000
+#: About so many parts of a device at most; every row is compared with all cuts.
+MOST_PARTS = 256
 #: Two quantities agree, or two figures differ, at this share of the larger.
 TOLERANCE = 0.001
 
@@ -112,14 +114,24 @@ def decode_open(read: DataFrame) -> DataFrame:
 
     Candidate states are the units the device's pinned facts use; a stated scale
     narrows them. Facts of a device without any pinned fact stay open; facts without
-    a ticker form devices by filing."""
+    a ticker form devices by filing.
+
+    A hot device is cut at some of its pins, in the chain's order; the pin at a cut
+    ends one part and begins the next. As pins cut the chain anyway, the result is
+    that of the whole chain. Between two pins nothing is cut."""
     owner = F.coalesce("ticker", F.concat(F.lit("#"), F.coalesce(F.col("filing_id").cast("string"), F.lit(""))))
     read = read.withColumn("device", F.concat(owner, F.lit("\x1f"), F.coalesce("concept", F.lit("")))).withColumn("year", F.expr("try_cast(regexp_extract(period, '([0-9]{4})', 1) as int)"))
     open_ = read.where(F.col("pin").isNull() & F.col("figure").isNotNull())
     devices = open_.select("device").distinct()
     mine = read.where(F.col("figure").isNotNull()).join(devices, "device", "left_semi")
-    sizes = mine.groupBy("device", "year").agg(F.count(F.lit(1)).alias("n"))
-    parts = mine.join(sizes.where(F.col("n") > CHUNK_ROWS), ["device", "year"], "left").withColumn("part", F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("filing_id"), F.ceil(F.col("n") / CHUNK_ROWS)).cast("int")))
+    place = F.struct("year", "period", "fact_id")
+    hot = mine.groupBy("device").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK_ROWS)
+    # a sample of the pins, as many as parts are wanted; any sample gives the same result
+    some = mine.where(F.col("pin").isNotNull()).join(hot, "device").where(F.pmod(F.xxhash64("fact_id"), F.greatest(F.lit(CHUNK_ROWS), F.ceil(F.col("n") / MOST_PARTS))) == 0)
+    cuts = some.groupBy("device").agg(F.array_sort(F.collect_set(place)).alias("cuts"))
+    parts = mine.join(cuts, "device", "left").withColumn("at", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("cuts", lambda c: c <= place))))
+    # the pin at a cut stands in both parts
+    parts = parts.withColumn("part", F.explode(F.when(F.array_contains("cuts", place), F.array(F.col("at") - 1, F.col("at"))).otherwise(F.array("at"))))
     states = mine.where(F.col("pin").isNotNull()).groupBy("device").agg(F.array_sort(F.collect_set(F.struct("base", "pin"))).alias("states"))
     chain = parts.join(states, "device").select("device", "part", "year", "period", "fact_id", "figure", "base", "scale", "pin", "states")
     kind = dict(read.dtypes)["fact_id"]

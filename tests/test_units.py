@@ -80,6 +80,20 @@ def test_repeated_rows_and_hot_parts(spark, monkeypatch):
     assert all(v[1] in ("stated", "decoded") for v in quantities(spark, many).values())
 
 
+def test_the_size_of_parts_changes_nothing(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        raw, u = rng.choice([(f"{rng.randint(1, 99)}00", None), (f"{rng.randint(1, 9)},000,000", None), (f"{rng.randint(1, 99)}00", "IDR mn"), (f"{rng.randint(1, 99)},000,000,000", "IDR"), ("0", None)])
+        period = rng.choice([None, "", *(f"FY{y}" for y in range(2018, 2023))])
+        rows.append((i, i % 7, "A" if i % 5 else "B", "c", raw, u, period, None))
+    whole = quantities(spark, rows)
+    assert sum(how == "decoded" for _, how in whole.values()) > 100
+    for n in (1, 3, 20):
+        monkeypatch.setattr(units, "CHUNK_ROWS", n)
+        assert quantities(spark, rows) == whole
+
+
 def test_found_against_brute_force(spark, sf):
     q = [r for r in general.p3_quantities(spark, sf).collect() if r["quantity"]]
     groups: dict = {}
