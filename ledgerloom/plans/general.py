@@ -45,33 +45,34 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    a = flatten.flatten(table(spark, d, "report_responses"), "response_id", "body", flatten.RESPONSE, ("attachment",), payload=False)
-    b = flatten.flatten(table(spark, d, "statement_files"), "file_id", "body", flatten.STATEMENT, ("item",), payload=False)
-    both = a.withColumn("src", F.lit("response")).unionByName(b.withColumn("src", F.lit("statement")))
-    return both.select("src", "parent_id", "outer_no", "inner_no")
+    """Every inner object, by way of its variant: the keys that all subtype tables share."""
+    both = _variants(spark, d, "response", ("attachment",)).withColumn("src", F.lit("response")).unionByName(_variants(spark, d, "statement", ("item",)).withColumn("src", F.lit("statement")))
+    return both.where(F.col("variant").isNotNull()).select("src", "parent_id", "outer_no", "inner_no").distinct()
 
 
-def _flat(spark: SparkSession, d: str, src: str) -> DataFrame:
-    if src == "response":
-        return flatten.flatten(table(spark, d, "report_responses"), "response_id", "body", flatten.RESPONSE)
-    return flatten.flatten(table(spark, d, "statement_files"), "file_id", "body", flatten.STATEMENT)
+_BODIES = {"response": ("report_responses", "response_id", flatten.RESPONSE), "statement": ("statement_files", "file_id", flatten.STATEMENT)}
+
+
+def _variants(spark: SparkSession, d: str, src: str, kinds: tuple[str, ...] = (), payload: bool = False) -> DataFrame:
+    name, key, level = _BODIES[src]
+    return flatten.flatten(table(spark, d, name), key, "body", level, kinds, payload)
 
 
 def p5_attachments(spark: SparkSession, d: str) -> DataFrame:
     schema = "File_Name string, File_Path string, File_Type string, File_Size string, Emiten_Code string, Report_Period string, Report_Year string"
-    return flatten.subtype_table(_flat(spark, d, "response"), "attachment", schema)
+    return flatten.subtype_table(_variants(spark, d, "response", ("attachment",), True), "attachment", schema)
 
 
 def p5_items(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.subtype_table(_flat(spark, d, "statement"), "item", "label string")
+    return flatten.subtype_table(_variants(spark, d, "statement", ("item",), True), "item", "label string")
 
 
 def p5_sheets(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.subtype_table(_flat(spark, d, "statement"), "sheet", "name string, currency string, hidden boolean").drop("inner_no")
+    return flatten.subtype_table(_variants(spark, d, "statement", ("sheet",), True), "sheet", "name string, currency string, hidden boolean").drop("inner_no")
 
 
 def p5_results(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.subtype_table(_flat(spark, d, "response"), "result", "Emiten struct<Code:string,Boards:array<string>>").drop("inner_no")
+    return flatten.subtype_table(_variants(spark, d, "response", ("result",), True), "result", "Emiten struct<Code:string,Boards:array<string>>").drop("inner_no")
 
 
 def p5_values(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +80,23 @@ def p5_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_variants(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.variant_tables(_flat(spark, d, "response").unionByName(_flat(spark, d, "statement")))
+    return flatten.variant_tables(_variants(spark, d, "response").unionByName(_variants(spark, d, "statement")))
+
+
+def p5_variant_attachments(spark: SparkSession, d: str) -> DataFrame:
+    """The typed table of the attachments that have the supertype's members only."""
+    return flatten.variant_table(_variants(spark, d, "response", ("attachment",), True), "attachment", flatten.RESPONSE).drop("members")
+
+
+def p5_variant_items(spark: SparkSession, d: str) -> DataFrame:
+    """The typed table of the items with numbers only, one value a row."""
+    flat = flatten.variant_table(_variants(spark, d, "statement", ("item",), True), "item", flatten.STATEMENT)
+    return flat.select("parent_id", "outer_no", "inner_no", "label", F.explode("values").alias("name", "number")).where(F.col("number").isNotNull())
+
+
+def p5_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    parts = [flatten.unreadable(table(spark, d, name), key, "body").withColumn("src", F.lit(src)) for src, (name, key, _) in _BODIES.items()]
+    return parts[0].unionByName(parts[1])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_items, p2_found, p3_found, p3_quantities, p4_found, p4_wide, p5_found, p5_attachments, p5_items, p5_sheets, p5_results, p5_values, p5_variants)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_items, p2_found, p3_found, p3_quantities, p4_found, p4_wide, p5_found, p5_attachments, p5_items, p5_sheets, p5_results, p5_values, p5_variants, p5_variant_attachments, p5_variant_items, p5_unreadable)}

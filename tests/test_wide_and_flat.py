@@ -50,27 +50,58 @@ def test_positions_wrapping_and_bad_bodies(spark):
     flat = flatten.flatten(df, "id", "body", flatten.RESPONSE, ("attachment",))
     got = sorted(((r["parent_id"], r["outer_no"], r["inner_no"]) for r in flat.collect()), key=str)
     assert got == sorted([(1, 1, 0), (1, 1, 3), (1, 2, 0), (2, 1, 0), (2, 1, 3), (2, 2, 0), (3, 0, 0), (None, 0, 0)], key=str)
-    variants = {r["shape"]: r["n_objects"] for r in flatten.variant_tables(flat).collect()}
-    assert variants == {'{"a":num}': 6, "{}": 2}
+    variants = {r["variant"]: r["n_objects"] for r in flatten.variant_tables(flat).collect()}
+    assert variants == {'attachment{"a":"num"}': 6, "attachment": 2}
+    bad = sorted(((r["parent_id"], r["reason"]) for r in flatten.unreadable(df, "id", "body").collect()))
+    assert bad == [(4, "no complete JSON"), (5, "empty"), (6, "null"), (7, "no complete JSON"), (8, "no object"), (9, "no complete JSON")]
     typed = flatten.subtype_table(flat, "attachment", "a int").where("parent_id = 1").collect()
     assert sorted(r["a"] for r in typed) == [1, 2, 3]
 
 
 def test_automaton_states():
-    assert flatten.state({"b": [1, "x", None], "a": True}) == '{"a":bool,"b":[null|num|str]}'
-    assert flatten.state([{"x": 1}, {"x": 2.5}]) == '[{"x":num}]'
+    assert flatten.state({"b": [1, "x", None], "a": True}) == '{"a":bool,"b":[num|str]}'
+    assert flatten.state([{"x": 1}, {"x": 2.5, "y": None}, {}]) == "[<>|<num>]"
+    # dictionaries: data in the names of members makes no state of its own
+    assert flatten.state({"2016": 1, "2015": None}) == flatten.state({"2019": 2.5}) == "<num>"
+    assert flatten.state({"2016": [1], "2015": [2]}) == "<[num]>"
+    deep: object = 1
+    for _ in range(50_000):
+        deep = [deep]
+    assert flatten.state(deep) == "[" * 50_000 + "num" + "]" * 50_000
+
+
+def test_optional_members_make_no_variants():
+    t = {"a": "str", "b": "<num>", "c": "[str]"}
+    for x in ({}, {"a": None}, {"a": "x", "b": {}}, {"b": {"2016": 1, "2017": None}, "c": []}, {"extra": None, "more": []}):
+        assert flatten.departures(x, t, None) == ()
+    assert flatten.departures({"a": 1, "z": {"k": "v"}, "n": [1]}, t, "n") == (("a", "num"), ("z", "<str>"))
+
+
+def test_bodies_wrapped_any_number_of_times_and_nested_deep():
+    body = json.dumps({"Results": {"Attachments": {"a": 1}}})
+    for _ in range(12):
+        body = json.dumps(body)
+    assert [n[:3] for n in flatten.nodes(body, flatten.RESPONSE)] == [("result", 0, -1), ("attachment", 0, 0)]
+    deep = '{"Results": [{"Attachments": [{"a": ' + "[" * 2000 + "]" * 2000 + "}]}]}"
+    assert [n[:3] for n in flatten.nodes(deep, flatten.RESPONSE)] == [("result", 0, -1), ("attachment", 0, 0)]
 
 
 def test_variant_tables_are_typed(spark):
-    body = json.dumps({"Results": [{"Attachments": [{"a": 1, "parent_id": "x", "b": [True], "c": {"d": "t"}}, {"a": "s"}, {"A": 1, "a": 2}, {"z": []}]}]})
-    flat = flatten.flatten(spark.createDataFrame([(1, body)], "id bigint, body string"), "id", "body", flatten.RESPONSE, ("attachment",))
-    shapes = sorted(r["shape"] for r in flatten.variant_tables(flat).collect())
-    assert [flatten.schema_of(x) for x in shapes] == ["struct<`A`:double,`a`:double>", "struct<`a`:double,`b`:array<boolean>,`c`:struct<`d`:string>,`parent_id`:string>", "struct<`a`:string>", "struct<`z`:array<string>>"]
-    t = flatten.variant_table(flat, "attachment", shapes[1])
-    assert t.columns == ["parent_id", "outer_no", "inner_no", "a", "b", "c", "members"]
+    body = json.dumps({"Results": [{"Attachments": [{"a": 1, "parent_id": "x", "b": [True], "c": {"d": "t"}}, {"a": "s", "File_Size": 3}, {"A": 1, "a": 2}, {"z": [1, "x"]}, {"File_Size": 7, "File_Name": "f"}, {"File_Name": None}]}]})
+    level = flatten.RESPONSE
+    flat = flatten.flatten(spark.createDataFrame([(1, body)], "id bigint, body string"), "id", "body", level, ("attachment",))
+    variants = {r["variant"]: r["n_objects"] for r in flatten.variant_tables(flat).collect()}
+    wide = 'attachment{"a":"num","b":"[bool]","c":"<str>","parent_id":"str"}'
+    assert variants == {"attachment": 2, wide: 1, 'attachment{"a":"str"}': 1, 'attachment{"A":"num","a":"num"}': 1, 'attachment{"z":"[num|str]"}': 1}
+    base = flatten.variant_table(flat, "attachment", level)
+    assert dict(base.dtypes)["File_Size"] == "double"
+    assert sorted((r["inner_no"], r["File_Size"], r["File_Name"]) for r in base.collect()) == [(4, 7.0, "f"), (5, None, None)]
+    t = flatten.variant_table(flat, wide, level)
+    assert t.columns == ["parent_id", "outer_no", "inner_no", *level.supertype("attachment"), "a", "b", "c", "members"]
     r = t.first()
-    assert (r["parent_id"], r["inner_no"], r["a"], r["b"], r["c"]["d"]) == (1, 0, 1.0, [True], "t")
-    assert flatten.variant_table(flat, "attachment", shapes[0]).columns == ["parent_id", "outer_no", "inner_no", "members"]
+    assert (r["parent_id"], r["inner_no"], r["a"], r["b"], r["c"]) == (1, 0, 1.0, [True], {"d": "t"})
+    assert "a" not in [c.lower() for c in flatten.variant_table(flat, 'attachment{"A":"num","a":"num"}', level).columns]
+    assert flatten.variant_table(flat, 'attachment{"z":"[num|str]"}', level).first()["z"] == ["1", "x"]
 
 
 def test_leaves(spark):
