@@ -29,6 +29,8 @@ SCALED = {"kt": ("tonne", 3), "mt": ("tonne", 6)}
 #: "in full": a stated scale of one.
 FULL, FULL_ID = {"full", "units"}, {"penuh"}
 MONEY = ("IDR", "USD")
+#: Every unit_code a text can state.
+UNIT_CODES = tuple(sorted({*BASES.values(), *BASES_ID.values(), *PAIRS.values(), *PAIRS_ID.values(), *(u for u, _ in SCALED.values())}))
 _NOISE = {"in", "dalam", "iso4217", "of", "per", "satuan", "metric"}
 
 _GLUED = re.compile(r"^(idr|usd|us\$|rp)(k|m|mn|mio|bn|b|tn|t)$")

@@ -23,11 +23,29 @@ def quantities(spark, rows):
 
 
 def test_pins():
-    assert units.pinned_scale(24625135, "IDR", None, "-6") == 6
-    assert units.pinned_scale(17_672_000_000, "IDR", None, "-6") == 0
-    assert units.pinned_scale(5.0, "IDR", 6, "-3") == 6
-    assert units.pinned_scale(5.0, "ha", None, "-3") == 0
-    assert units.pinned_scale(5.0, None, None, "-3") is None
+    assert units.pinned_scale(24625135, "IDR", None, "-6") == (6, 0)
+    assert units.pinned_scale(17_672_000_000, "IDR", None, "-6") == (0, 6)
+    assert units.pinned_scale(5.0, "IDR", 6, "-3") == (6, 0)
+    assert units.pinned_scale(5.0, "ha", None, "-3") == (0, 0)
+    assert units.pinned_scale(5.0, None, None, "-3") == (None, 0)
+
+
+def test_reading_a_batch_equals_reading_one_by_one(sf):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from ledgerloom.functions.quantity import read_fact
+
+    t = pq.read_table(f"{sf}/facts.parquet")
+    texts = [("1,234.5", "IDR"), ("1.234,5", "Rp"), ("-5.", None), ("1.2.3", "USD"), ("5,5,", "persen"), ("+7", ""), ("", "IDR"), (None, "IDR"), ("(12)", None), ("1e3", "kg"), (" 9 ", "juta rupiah"), ("12", None), ("–3", "USD")]
+    raw, unit = t["raw_text"].to_pylist() + [x for x, _ in texts], t["unit"].to_pylist() + [x for _, x in texts]
+    dec, n = t["decimals"].to_pylist() + ["-3"] * len(texts), len(raw)
+    b = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([None] * n, pa.timestamp("us")), pa.array([1] * n, pa.int64()), *[pa.array([None] * n, pa.string())] * 3, pa.array(raw, pa.string()), pa.array(unit, pa.string()), pa.array(dec, pa.string())], list("abcdefghi"))
+    got = units._read_batch(b).to_pylist()
+    for r, u, d, g in zip(raw, unit, dec, got, strict=True):
+        figure, base, scale = read_fact(r, u)
+        pin, soft = units.pinned_scale(figure, base, scale, d)
+        assert (g["figure"], None if g["base"] is None else units.UNIT_CODES[g["base"]], g["scale"], g["soft"]) == (figure, base, pin if figure is not None and base is not None else scale, soft), (r, u, d)
 
 
 def test_viterbi_is_the_best_path():
@@ -46,7 +64,7 @@ def test_viterbi_is_the_best_path():
                 if t:
                     a, b = cands[t - 1][path[t - 1]], cands[t][k]
                     s += 0.0 if a[1] == b[1] else units.SWITCH
-                    s -= (levels[t] + b[0] - levels[t - 1] - a[0]) ** 2 / 2
+                    s -= min((levels[t] + b[0] - levels[t - 1] - a[0]) ** 2 / 2, -units.BREAK)
             return s
 
         paths = [[]]
@@ -75,23 +93,29 @@ def test_repeated_rows_and_hot_parts(spark, monkeypatch):
     q = units.normalise_units(*facts(spark, rows))
     assert q.count() == 2
     assert [tuple(r) for r in units.restated(q).collect()] == [(1, 2)]
+    assert [tuple(r) for r in units.restated_facts(*facts(spark, rows)).collect()] == [(1, 2)]
     monkeypatch.setattr(units, "CHUNK_ROWS", 2)
     many = [(i, i % 3, "A", "c", "100", "IDR mn" if i % 2 else None, "FY2020", None) for i in range(20)]
     assert all(v[1] in ("stated", "decoded") for v in quantities(spark, many).values())
 
 
-def test_the_size_of_parts_changes_nothing(spark, monkeypatch):
+def test_the_size_of_parts_and_batches_changes_nothing(spark, monkeypatch):
     rng = random.Random(11)
     rows = []
     for i in range(400):
-        raw, u = rng.choice([(f"{rng.randint(1, 99)}00", None), (f"{rng.randint(1, 9)},000,000", None), (f"{rng.randint(1, 99)}00", "IDR mn"), (f"{rng.randint(1, 99)},000,000,000", "IDR"), ("0", None)])
+        raw, u, d = rng.choice([(f"{rng.randint(1, 99)}00", None, None), (f"{rng.randint(1, 9)},000,000", None, None), (f"{rng.randint(1, 99)}00", "IDR mn", None), (f"{rng.randint(1, 99)},000,000,000", "IDR", "-6"), ("0", None, None), ("none", "IDR", None), ("7,000", "USD", "-3")])
         period = rng.choice([None, "", *(f"FY{y}" for y in range(2018, 2023))])
-        rows.append((i, i % 7, "A" if i % 5 else "B", "c", raw, u, period, None))
+        rows.append((i, i % 7, "A" if i % 5 else "B", "c", raw, u, period, d))
     whole = quantities(spark, rows)
     assert sum(how == "decoded" for _, how in whole.values()) > 100
-    for n in (1, 3, 20):
-        monkeypatch.setattr(units, "CHUNK_ROWS", n)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
         assert quantities(spark, rows) == whole
+        for n in (1, 3, 20):
+            monkeypatch.setattr(units, "CHUNK_ROWS", n)
+            assert quantities(spark, rows) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
 
 
 def test_found_against_brute_force(spark, sf):
@@ -126,5 +150,10 @@ def test_copies_and_bucket_edges(spark):
         return abs(a - b) <= 0.001 * max(abs(a), abs(b))
 
     want = {(min(a[0], b[0]), max(a[0], b[0])) for a, b in itertools.combinations([r for r in rows if r[3] and r[5]], 2) if near(a[5], b[5]) and not near(a[6], b[6])}
-    got = [tuple(r) for r in units.restated(spark.createDataFrame(rows, schema)).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 18
+    for size in ("10000", "2"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = [tuple(r) for r in units.restated(spark.createDataFrame(rows, schema)).collect()]
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 18
