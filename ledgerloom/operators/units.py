@@ -178,7 +178,7 @@ def read_facts(df: DataFrame) -> DataFrame:
     src = df.where(F.col("fact_id").isNotNull()).select(F.col("fact_id").cast("bigint"), "loaded_at", F.col("filing_id").cast("bigint"), "ticker", "concept", "period", "raw_text", "unit", "decimals")
     read = src.mapInArrow(lambda batches: map(_read_batch, batches), f"fact_id bigint, loaded_at {dict(src.dtypes)['loaded_at']}, filing_id bigint, {_READ}")
     rest = [c for c in read.columns if c not in ("fact_id", "loaded_at")]
-    return read.groupBy("fact_id").agg(F.max_by(F.struct(*rest), F.struct("loaded_at", *rest)).alias("r")).select("fact_id", "r.*")
+    return read.groupBy("fact_id").agg(F.max(F.struct("loaded_at", *rest)).alias("r")).select("fact_id", *[f"r.{c}" for c in rest])
 
 
 def _pinned() -> F.Column:
