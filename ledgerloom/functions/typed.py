@@ -18,44 +18,73 @@ YES = ("true", "t", "yes", "y", "ya", "1", "benar")
 NO = ("false", "f", "no", "n", "tidak", "0", "salah")
 
 
+_NAME = r"([a-z]{3,9})\.?"
+#: Forms of a date with digits only, and what makes each yyyy-m-d.
+_DIGITS = ((r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", "$1-$2-$3"), (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$", "$3-$2-$1"), (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
+#: Forms with a month's name, and what makes each "year day".
+_NAMED = ((rf"^(\d{{1,2}})[- ]{_NAME}[- ,]+(\d{{4}}|\d{{2}})$", "$3 $1"), (rf"^{_NAME} (\d{{1,2}}),? (\d{{4}})$", "$3 $2"))
+
+
+def _date(t: Column) -> Column:
+    t = F.lower(t)
+    month = F.try_element_at(F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv]), F.regexp_extract(t, "([a-z]+)", 1))
+    out = None
+    for pattern, to in _DIGITS:
+        value = F.regexp_replace(t, pattern, to).try_cast("date")
+        out = F.when(t.rlike(pattern), value) if out is None else out.when(t.rlike(pattern), value)
+    for pattern, to in _NAMED:
+        parts = F.split(F.regexp_replace(t, pattern, to), " ")
+        year = F.when(F.length(parts[0]) == 4, parts[0]).otherwise(F.concat(F.when(parts[0] >= "70", F.lit("19")).otherwise(F.lit("20")), parts[0]))
+        out = out.when(t.rlike(pattern), F.concat_ws("-", year, F.coalesce(month.cast("string"), F.lit("?")), parts[1]).try_cast("date"))
+    return out
+
+
+def _boolean(t: Column) -> Column:
+    t = F.lower(t)
+    return F.when(t.isin(*YES), F.lit(True)).when(t.isin(*NO), F.lit(False))
+
+
+def _integer(t: Column) -> Column:
+    return F.when(t.rlike(r"^[+-]?\d[\d., ]*$"), F.translate(t, "., ", "").try_cast("bigint"))
+
+
+def _double(t: Column) -> Column:
+    return F.when(t.rlike(r"^[+-]?(\d+([.,]\d*)?|[.,]\d+)([eE][+-]?\d+)?$"), F.translate(t, ",", ".").try_cast("double") + F.lit(0.0))
+
+
+def _string(t: Column) -> Column:
+    return F.nullif(t, F.lit(""))
+
+
+#: By type, the reading of a text whose white space is reduced (``squeeze_ws``) already:
+#: a reading may use its text several times.
+SQUEEZED = {"string": _string, "date": _date, "boolean": _boolean, "integer": _integer, "double": _double}
+
+
 def read_date(c: Column) -> Column:
     """ISO, day/month/year, yyyymmdd, and day and month name in either order, in
     English or Indonesian; two-digit years from 70 on are 19xx. Null when unreadable
     or no day of the calendar."""
-    t = F.lower(squeeze_ws(c))
-    name = r"([a-z]{3,9})\.?"
-    forms = [(r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", 1, 2, 3), (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$", 3, 2, 1), (r"^(\d{4})(\d{2})(\d{2})$", 1, 2, 3), (rf"^(\d{{1,2}})[- ]{name}[- ,]+(\d{{4}}|\d{{2}})$", 3, 2, 1), (rf"^{name} (\d{{1,2}}),? (\d{{4}})$", 3, 1, 2)]
-    out = None
-    months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-    for k, (pattern, y, m, d) in enumerate(forms):
-        part = lambda g, p=pattern: F.regexp_extract(t, p, g)
-        month = F.try_element_at(months, part(m)).cast("string") if k >= 3 else part(m)
-        year = F.when(F.length(part(y)) == 2, F.concat(F.when(part(y) >= "70", F.lit("19")).otherwise(F.lit("20")), part(y))).otherwise(part(y)) if k == 3 else part(y)
-        value = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(part(d), 2, "0")), "yyyy-MM-dd")
-        out = F.when(t.rlike(pattern), value) if out is None else out.when(t.rlike(pattern), value)
-    return out
+    return _date(squeeze_ws(c))
 
 
 def read_boolean(c: Column) -> Column:
-    t = F.lower(squeeze_ws(c))
-    return F.when(t.isin(*YES), F.lit(True)).when(t.isin(*NO), F.lit(False))
+    return _boolean(squeeze_ws(c))
 
 
 def read_integer(c: Column) -> Column:
     """``.``, ``,`` and blanks only group digits."""
-    t = squeeze_ws(c)
-    return F.when(t.rlike(r"^[+-]?\d[\d., ]*$"), F.regexp_replace(t, "[., ]", "").try_cast("bigint"))
+    return _integer(squeeze_ws(c))
 
 
 def read_double(c: Column) -> Column:
     """``,`` and ``.`` both are the decimal sign; a text with two of them has no reading."""
-    t = squeeze_ws(c)
-    return F.when(t.rlike(r"^[+-]?(\d+([.,]\d*)?|[.,]\d+)([eE][+-]?\d+)?$"), F.translate(t, ",", ".").try_cast("double") + F.lit(0.0))
+    return _double(squeeze_ws(c))
 
 
 def read_string(c: Column) -> Column:
     """Trimmed, white space of any kind reduced to single blanks; empty is null."""
-    return F.nullif(squeeze_ws(c), F.lit(""))
+    return _string(squeeze_ws(c))
 
 
 READERS = {"string": read_string, "date": read_date, "boolean": read_boolean, "integer": read_integer, "double": read_double}

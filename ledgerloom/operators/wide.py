@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import blank_to_null, trim_ws
-from ledgerloom.functions.typed import READERS, SPARK_TYPES
+from ledgerloom.functions.text import blank_to_null, squeeze_ws, trim_ws
+from ledgerloom.functions.typed import READERS, SPARK_TYPES, SQUEEZED
 
 #: Slot of each type in a cell, and its numpy and Arrow types.
 _NUMPY = {"string": object, "date": np.int32, "boolean": np.bool_, "integer": np.int64, "double": np.float64}
@@ -40,16 +40,20 @@ def cells(df: DataFrame, concepts: DataFrame, entity: tuple[str, ...] = ("ticker
     declared, do not count; text that can't be read in the type is null. Of readable
     values the latest ``version`` holds, at a tie the larger ``tie``, then value."""
     declared = concepts.select(F.lower(trim_ws(F.col("concept"))).alias("_a"), F.col("concept").alias("_concept"), F.lower(F.col("data_type")).alias("_type")).groupBy("_a").agg(F.min(F.struct("_concept", "_type")).alias("_d")).select("_a", "_d.*")
-    rows = df.where(blank_to_null(F.col(entity[0])).isNotNull()).select(*[F.col(e).alias(f"_e{i}") for i, e in enumerate(entity)], attribute_key(F.col(attribute)).alias("_a"), F.col(text).alias("_text"), F.struct(version, tie).alias("_v"))
-    typed = rows.join(declared, "_a").select("*", *[F.when(F.col("_type") == t, read(F.col("_text"))).alias(f"_{t}") for t, read in READERS.items()])
-    canon = F.coalesce(*[F.col(f"_{t}").cast("string") for t in READERS])
-    value = F.struct(*[F.col(f"_{t}") for t in READERS])
-    return (
-        typed.withColumn("_canon", canon)
-        .groupBy(*[f"_e{i}" for i in range(len(entity))], "_concept", "_type")
-        .agg(F.max_by(value, F.when(F.col("_canon").isNotNull(), F.struct("_v", "_canon"))).alias("_value"), (F.min("_canon") != F.max("_canon")).alias("conflict"))
-        .select(*[F.col(f"_e{i}").alias(e) for i, e in enumerate(entity)], F.col("_concept").alias("concept"), F.col("_type").alias("data_type"), "_value.*", F.coalesce("conflict", F.lit(False)).alias("conflict"))
-    )
+    rows = df.where(blank_to_null(F.col(entity[0])).isNotNull()).select(*[F.col(e).alias(f"_e{i}") for i, e in enumerate(entity)], attribute_key(F.col(attribute)).alias("_a"), squeeze_ws(F.col(text)).alias("_text"), F.struct(version, tie).alias("_v"))
+    canon = None
+    for t, read in SQUEEZED.items():
+        value = read(F.col("_text")).cast("string")
+        canon = F.when(F.col("_type") == t, value) if canon is None else canon.when(F.col("_type") == t, value)
+    keys = [f"_e{i}" for i in range(len(entity))]
+    best = (
+        rows.join(declared, "_a").select(*keys, "_concept", "_type", "_v", canon.alias("_canon"))
+        .groupBy(*keys, "_concept", "_type")
+        .agg(F.max(F.when(F.col("_canon").isNotNull(), F.struct("_v", "_canon"))).alias("_best"), F.min("_canon").alias("_lo"), F.max("_canon").alias("_hi"))
+    )
+    # a reading's text form is exact, so the winner alone is turned into its type again
+    typed = [F.when(F.col("_type") == t, F.col("_best._canon")).try_cast(k).alias(f"_{t}") for t, k in SPARK_TYPES.items()]
+    return best.select(*[F.col(f"_e{i}").alias(e) for i, e in enumerate(entity)], F.col("_concept").alias("concept"), F.col("_type").alias("data_type"), *typed, F.coalesce(F.col("_lo") != F.col("_hi"), F.lit(False)).alias("conflict"))
 
 
 def declared_attributes(concepts: DataFrame) -> list[tuple[str, str]]:
