@@ -23,7 +23,7 @@ from ledgerloom.functions.typed import READERS, SPARK_TYPES, SQUEEZED
 #: Slot of each type in a cell, and its numpy and Arrow types.
 _NUMPY = {"string": object, "date": np.int32, "boolean": np.bool_, "integer": np.int64, "double": np.float64}
 _ARROW = {"string": pa.string(), "date": pa.date32(), "boolean": pa.bool_(), "integer": pa.int64(), "double": pa.float64()}
-#: Above this many declared attributes a wide table is refused: one row must fit a task.
+#: Columns of one wide table; more attributes make several (``wide_tables``).
 MAX_ATTRIBUTES = 10_000
 
 
@@ -57,14 +57,18 @@ def cells(df: DataFrame, concepts: DataFrame, entity: tuple[str, ...] = ("ticker
 
 
 def declared_attributes(concepts: DataFrame) -> list[tuple[str, str]]:
-    """(attribute, type) in name order; the table of attributes is a schema, and is
-    refused above ``MAX_ATTRIBUTES`` rows."""
-    rows = concepts.groupBy(F.lower(trim_ws(F.col("concept"))).alias("_a")).agg(F.min(F.struct("concept", F.lower("data_type").alias("t"))).alias("d")).select("d.*").limit(MAX_ATTRIBUTES + 1).collect()
-    if len(rows) > MAX_ATTRIBUTES:
-        raise ValueError(f"more than {MAX_ATTRIBUTES} attributes can't be columns of one table")
+    """(attribute, type) in name order: the wide table's schema."""
+    rows = concepts.groupBy(F.lower(trim_ws(F.col("concept"))).alias("_a")).agg(F.min(F.struct("concept", F.lower("data_type").alias("t"))).alias("d")).select("d.*").collect()
     return sorted((r["concept"], r["t"]) for r in rows if r["concept"] is not None and r["t"] in READERS)
 
 
+def wide_tables(cell: DataFrame, attributes: list[tuple[str, str]], entity: tuple[str, ...] = ("ticker", "period"), most: int = MAX_ATTRIBUTES) -> list[DataFrame]:
+    """``wide_table`` for any number of attributes: tables of at most ``most`` of them
+    each, in name order. An entity has a row in each table it has cells in."""
+    parts = [attributes[i : i + most] for i in range(0, max(1, len(attributes)), most)]
+    return [wide_table(cell.where(F.col("concept").isin([a for a, _ in p])) if len(parts) > 1 else cell, p, entity) for p in parts]
+
+
 def wide_table(cell: DataFrame, attributes: list[tuple[str, str]], entity: tuple[str, ...] = ("ticker", "period")) -> DataFrame:
     """One row per entity: the entity columns, a column of the declared type for each
     attribute, and ``conflicts``: the attributes whose rows disagree. Attributes

@@ -29,6 +29,21 @@ def test_wide(spark):
     assert build(spark, []).count() == 0
 
 
+def test_more_attributes_than_a_table_takes(spark):
+    rows = [("A", "P", c, v, 1) for c, v in (("Name", "x"), ("When", "2020-01-02"), ("Flag", "y"), ("Staff", "7"), ("Price", "1.5"))] + [("B", "P", "Price", "2", 1), ("B", "P", "Price", "3", 2)]
+    df = spark.createDataFrame([(i, t, c, 0.0, x, "", p, "", datetime(2024, 1, d)) for i, (t, p, c, x, d) in enumerate(rows)], COVER)
+    concepts = spark.createDataFrame(CONCEPTS, "concept string, data_type string")
+    cell, attributes = wide.cells(df, concepts), wide.declared_attributes(concepts)
+    whole = {r["ticker"]: r.asDict() for r in wide.wide_table(cell, attributes).collect()}
+    got: dict = {}
+    for t in wide.wide_tables(cell, attributes, most=2):
+        for r in t.collect():
+            mine = got.setdefault(r["ticker"], dict.fromkeys(whole["A"]) | {"conflicts": []})
+            mine.update({k: v for k, v in r.asDict().items() if k != "conflicts"})
+            mine["conflicts"] = mine["conflicts"] + r["conflicts"]
+    assert got == whole
+
+
 def test_wide_round_trip_over_many_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
