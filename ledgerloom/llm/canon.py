@@ -5,9 +5,9 @@ units and brackets off, abbreviations and synonyms spelled out, characters that
 scanners confuse folded together. On squashed forms the Levenshtein distance is a
 true metric, so a BK-tree prunes by the triangle inequality and returns every entry
 within the threshold. The reference is cut into shards, one tree each; the winners
-of the shards are merged by stage and distance. Trees go to the tasks, and each task keeps
-what it found for values it has met, so a value on a third of all rows is looked up
-once a task and nothing is shuffled.
+of the shards are merged by stage and distance. Only distinct values are looked up,
+each once, a whole batch of them going down a tree level by level; results are joined
+back to the rows.
 """
 
 from __future__ import annotations
@@ -17,21 +17,20 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of a tree; a longer reference makes more shards.
 SHARD = 5_000
-#: A reference above this goes through ``match_large`` instead of to every task.
+#: A reference above this goes through ``match_large`` instead of to every task, with the same results.
 MOST_ENTRIES = 100_000
 #: Share of an entry's squashed length that may differ; entries shorter than
 #: ``SHORT`` must agree exactly, as a letter more is another code.
 THRESHOLD, SHORT = 0.29, 6
 #: A cut off value must still have this share of its entry, and may differ by this share.
 CUT_OFF, CUT_THRESHOLD = 0.6, 0.19
-#: Values a task remembers.
-MEMO = 500_000
 
 # Abbreviations and synonyms in both languages, by word.
 WORDS = {
@@ -173,6 +172,86 @@ class BKTree:
         return out
 
 
+class BatchTree:
+    """A ``BKTree`` that takes many queries at once: a level of the tree is one set of
+    (query, node) pairs, whose distances are computed together."""
+
+    def __init__(self, tree: BKTree) -> None:
+        nodes, kids = [tree.root] if tree.root else [], []
+        at = 0
+        while at < len(nodes):
+            begin = len(nodes)
+            below = sorted(nodes[at][1].items())
+            nodes += [k for _, k in below]
+            kids.append(([d for d, _ in below], begin))
+            at += 1
+        self.entries = [n[0] for n in nodes]
+        self.size = np.array([len(e) for e in self.entries], np.int64)
+        letters = sorted({c for e in self.entries for c in e})
+        self.letter = {c: i for i, c in enumerate(letters)}
+        self.text = np.zeros((len(nodes), int(self.size.max()) if nodes else 0), np.int64)
+        for i, e in enumerate(self.entries):
+            self.text[i, : len(e)] = [self.letter[c] for c in e]
+        self.n_kids = np.array([len(d) for d, _ in kids], np.int64)
+        self.first = np.array([b for _, b in kids], np.int64)  # children stand end to end
+        self.apart = np.array([0, *(d for ds, _ in kids for d in ds)], np.int64)  # distance of each node to its parent
+
+    def within(self, queries: list[str], radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, distance, node) of every entry within each query's radius; queries
+        of at most 64 characters."""
+        if not self.entries or not queries:
+            return (np.zeros(0, np.int64),) * 3
+        peq = np.zeros((len(queries), len(self.letter)), np.uint64)
+        for i, q in enumerate(queries):
+            for j, c in enumerate(q):
+                k = self.letter.get(c)
+                if k is not None:
+                    peq[i, k] |= np.uint64(1 << j)
+        length = np.array([len(q) for q in queries], np.int64)
+        q, node, out = np.arange(len(queries)), np.zeros(len(queries), np.int64), []
+        while len(q):
+            below_q, below = [], []
+            for lo in range(0, len(q), 200_000):
+                a, n = q[lo : lo + 200_000], node[lo : lo + 200_000]
+                d = self._distances(peq, length, a, n)
+                hit = d <= radius[a]
+                out.append(np.stack([a[hit], d[hit], n[hit]]))
+                many = self.n_kids[n]
+                parent = np.repeat(np.arange(len(a)), many)
+                kid = np.repeat(self.first[n], many) + np.arange(len(parent)) - np.repeat(np.cumsum(many) - many, many)
+                near = np.abs(self.apart[kid] - d[parent]) <= radius[a[parent]]
+                below_q.append(a[parent[near]])
+                below.append(kid[near])
+            q, node = np.concatenate(below_q), np.concatenate(below)
+        return tuple(np.concatenate(out, axis=1))
+
+    def _distances(self, peq: np.ndarray, length: np.ndarray, q: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Levenshtein distances of pairs, bit-parallel over the query."""
+        order = np.argsort(-self.size[node], kind="stable")  # pairs whose entry has ended are at the end
+        q, node = q[order], node[order]
+        one = np.uint64(1)
+        size, m = self.size[node], length[q]
+        top = (m - 1).astype(np.uint64)
+        mask = np.where(m == 64, np.uint64(0xFFFFFFFFFFFFFFFF), (one << m.astype(np.uint64) % np.uint64(64)) - one)
+        pv, mv, score = mask.copy(), np.zeros(len(q), np.uint64), m.copy()
+        with np.errstate(over="ignore"):
+            for t in range(int(size[0]) if len(size) else 0):
+                live = int(np.searchsorted(-size, -t, "left"))  # entries longer than t
+                p, v = pv[:live], mv[:live]
+                eq = peq[q[:live], self.text[node[:live], t]]
+                xv = eq | v
+                xh = (((eq & p) + p) ^ p) | eq
+                ph = v | ~(xh | p)
+                mh = p & xh
+                score[:live] += ((ph >> top[:live]) & one).astype(np.int64) - ((mh >> top[:live]) & one).astype(np.int64)
+                ph = (ph << one) | one
+                pv[:live] = ((mh << one) | ~(xv | ph)) & mask[:live]
+                mv[:live] = ph & xv & mask[:live]
+        out = np.empty(len(q), np.int64)
+        out[order] = score
+        return out
+
+
 def _period_aliases() -> dict[str, list[str]]:
     """Spellings of the report periods, from the grammar of quarters, months and dates."""
     out: dict[str, list[str]] = {"Audit": ["audit", "audited", "auditan", "annual", "annual report", "tahunan", "laporan tahunan", "tahunan audit", "full year", "fy", "year end", "yearend", "12m", "12 months", "twelve months", "dua belas bulan", "12 bulan", "fullyear", "akhir tahun"]}
@@ -219,6 +298,7 @@ class Matcher:
     cut_off: dict[str, tuple[int, str]] = field(default_factory=dict)
     shards: list[BKTree] = field(default_factory=list)
     short: list[BKTree] = field(default_factory=list)
+    batch: tuple[list[BatchTree], list[BatchTree]] = ((), ())
 
     def build(self, terms: list[tuple[int, str, str | None]]) -> Matcher:
         aliases = _period_aliases() if self.exact else {}
@@ -242,8 +322,47 @@ class Matcher:
         whole, cuts = sorted(self.entries), sorted(self.cut_off)
         self.shards = [BKTree(whole[i::n]) for n in [max(1, -(-len(whole) // SHARD))] for i in range(n)]
         self.short = [BKTree(cuts[i::n]) for n in [max(1, -(-len(cuts) // SHARD))] for i in range(n)]
+        self.batch = [BatchTree(t) for t in self.shards], [BatchTree(t) for t in self.short]
         return self
 
+    def find_many(self, values: list[str]) -> list[tuple[int, float, int] | None]:
+        """``find`` for each of many values."""
+        if self.exact:
+            return [self.find(v) for v in values]
+        forms = [readings(v) for v in values]
+        out: list[tuple[int, float, int] | None] = [(min(same), 0.0, 1) if (same := [self.entries[f][0] for f in fs if f in self.entries]) else None for fs in forms]
+        for stage, scalar, trees, table, most in ((1, self.shards, self.batch[0], self.entries, THRESHOLD), (2, self.short, self.batch[1], self.cut_off, CUT_THRESHOLD)):
+            open_ = list(dict.fromkeys(f for fs, got in zip(forms, out, strict=True) if got is None for f in fs))
+            best = self._closest_many([f for f in open_ if len(f) <= 64], trees, table, most)
+            best |= {f: self._closest(f, scalar, table, most) for f in open_ if len(f) > 64}
+            for i, fs in enumerate(forms):
+                if out[i] is None and (hits := [h for f in fs if (h := best[f]) is not None]):
+                    share, k = min(hits)
+                    out[i] = k, share, stage
+        return out
+
+    @staticmethod
+    def _closest_many(forms: list[str], trees: list[BatchTree], table: dict[str, tuple[int, str]], most: float) -> dict[str, tuple[float, int] | None]:
+        """``_closest`` of each form; the radius grows for those that need it."""
+        best: dict[str, tuple[float, int] | None] = dict.fromkeys(forms)
+        todo = [(f, min(2, last), last) for f in forms for last in [int(most / (1 - most) * len(f) + 1e-9)]]
+        while todo:
+            texts, radius = [f for f, _, _ in todo], np.array([r for _, r, _ in todo], np.int64)
+            for tree in trees:
+                for q, d, node in zip(*(x.tolist() for x in tree.within(texts, radius)), strict=True):
+                    f, e = texts[q], tree.entries[node]
+                    share = d / max(len(e), len(f))
+                    if share <= most and (not d or len(e) >= SHORT) and (best[f] is None or (share, table[e][0]) < best[f]):
+                        best[f] = share, table[e][0]
+            more = []
+            for f, r, last in todo:
+                b = best[f]
+                reach = last if b is None else min(last, int(b[0] / (1 - b[0]) * len(f) + 1e-9))
+                if r < reach:
+                    more.append((f, reach if b is not None else min(last, 2 * r + 1), last))
+            todo = more
+        return best
+
     def find(self, value: str) -> tuple[int, float, int] | None:
         """(term id, distance as a share of the entry's length, stage) of the closest
         entry: stage 1 for whole entries, 2 for cut off ones, which count after them."""
@@ -314,57 +433,74 @@ class Reference:
             m.plant()
         return self
 
-    def lookup(self, name: str, value: str | None, memo: dict) -> tuple[int | None, str, float | None, int | None]:
-        """(term id, how, share, stage): how is "letter" (stage 0), "matched" (1 or 2),
-        "unmatched" or "empty"."""
-        if value is None or not value.strip():
-            return None, "empty", None, None
-        key = (name, value)
-        got = memo.get(key)
-        if got is None:
-            if value in self.letters.get(name, {}):
-                got = (self.letters[name][value], "letter", 0.0, 0)
-            elif (m := self.matchers.get(name)) and (hit := m.find(value)):
-                got = (hit[0], "matched", hit[1], hit[2])
+    def lookup(self, pairs: list[tuple[str, str | None]]) -> list[tuple[int | None, str, float | None, int | None]]:
+        """(term id, how, share, stage) of each (field, value): how is "letter" (stage
+        0), "matched" (1 or 2), "unmatched" or "empty"."""
+        out: list = [None] * len(pairs)
+        open_: dict[str, list[int]] = {}
+        for i, (name, value) in enumerate(pairs):
+            if value is None or not value.strip():
+                out[i] = None, "empty", None, None
+            elif value in self.letters.get(name, {}):
+                out[i] = self.letters[name][value], "letter", 0.0, 0
+            elif name in self.matchers:
+                open_.setdefault(name, []).append(i)
             else:
-                got = (None, "unmatched", None, None)
-            if len(memo) >= MEMO:
-                memo.clear()
-            memo[key] = got
-        return got
+                out[i] = None, "unmatched", None, None
+        for name, at in open_.items():
+            for i, hit in zip(at, self.matchers[name].find_many([pairs[i][1] for i in at]), strict=True):
+                out[i] = (hit[0], "matched", hit[1], hit[2]) if hit else (None, "unmatched", None, None)
+        return out
 
 
 def _stated(terms: DataFrame) -> DataFrame:
     return terms.where(F.col("term").isNotNull()).groupBy("term_id", "field_name", "term").agg(F.max("alt_term").alias("alt_term"))
 
 
-def reference_rows(terms: DataFrame) -> list[tuple[int, str, str, str | None]]:
-    """The reference list, its size checked; rows sent again count once."""
+def reference_rows(terms: DataFrame) -> list[tuple[int, str, str, str | None]] | None:
+    """The reference list, rows sent again once; None above ``MOST_ENTRIES``."""
     rows = _stated(terms).limit(MOST_ENTRIES + 1).collect()
     if len(rows) > MOST_ENTRIES:
-        raise ValueError("the reference is too large for every task: use match_large")
+        return None
     return [(r["term_id"], r["field_name"], r["term"], r["alt_term"]) for r in rows]
 
 
+#: Columns of a looked up value.
+_FOUND = "field_name string, value string, term_id bigint, how string, share double"
+
+
 def match_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     """``field_name``, ``row_id``, ``value`` rows with ``term_id``, ``how`` and ``share``.
 
     ``how`` tells values that are an entry letter for letter, values matched to the
     closest entry (``share`` is the distance over the longer length; of equally close
     entries the smaller id), unmatched values and empty ones (null or blank). Every
-    row comes out."""
-    rows = reference_rows(terms)
-    reference = values.sparkSession.sparkContext.broadcast(Reference(rows))
+    row comes out. Distinct values are found map-side first, so one on a third of all
+    rows is looked up once; the join back splits such a value's rows adaptively."""
     src = values.select("field_name", "row_id", F.col("value").cast("string").alias("value"))
-    kind = dict(src.dtypes)["row_id"]
+    distinct = src.where(F.trim("value") != "").select("field_name", "value").distinct()
+    found = match_distinct(distinct, terms)
+    joined = src.join(found, ["field_name", "value"], "left")
+    blank = F.col("value").isNull() | F.col("value").rlike(r"(?U)^[\s\x1c-\x1f]*$")
+    return joined.select("field_name", "row_id", "value", "term_id", F.when(blank, F.lit("empty")).otherwise(F.coalesce("how", F.lit("unmatched"))).alias("how"), "share")
+
+
+def match_distinct(distinct: DataFrame, terms: DataFrame) -> DataFrame:
+    """``field_name``, ``value``, ``term_id``, ``how`` and ``share`` of distinct values."""
+    rows = reference_rows(terms)
+    if rows is None:
+        return match_large(distinct, terms)
+    spark = distinct.sparkSession
+    reference = spark.sparkContext.broadcast(Reference(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ref, memo = reference.value, {}
+        ref = reference.value
         for b in batches:
-            got = [ref.lookup(f, v, memo) for f, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.float64())], ["field_name", "row_id", "value", "term_id", "how", "share"])
+            pairs = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            yield _batch([(*p, *hit[:3]) for p, hit in zip(pairs, ref.lookup(pairs), strict=True)], ("field_name", "value", "term_id", "how", "share"))
 
-    return src.mapInArrow(run, f"field_name string, row_id {kind}, value string, term_id bigint, how string, share double")
+    # few bytes but much to do for each: a stated number of partitions isn't coalesced
+    return distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, _FOUND)
 
 
 def reference_forms(terms: DataFrame) -> DataFrame:
@@ -399,31 +535,39 @@ def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
 
 
 def match_large(values: DataFrame, terms: DataFrame, shards: int = 64) -> DataFrame:
-    """``match_values`` for a reference of any size, as (field_name, value, term_id, share)
-    of distinct values: every value meets every shard of the reference's forms, each
-    shard's trees are built where its forms are, and the winners of the shards are
-    merged by (stage, share, term_id). What is shared between entries is settled before
-    (``reference_forms``), so the number of shards changes nothing. Unmatched values
-    come out with null."""
+    """``match_distinct`` for a reference of any size: every distinct value meets every
+    shard of the reference's forms, each shard's trees are built where its forms are,
+    and the winners of the shards are merged by (stage, share, term_id). What is shared
+    between entries is settled before (``reference_forms``), so the number of shards
+    changes nothing. Unmatched values come out with null."""
     distinct = values.where(F.trim("value") != "").select("field_name", "value").distinct()
     a = distinct.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "field_name", "value", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("form"), F.lit(None).cast("bigint").alias("term_id"))
     b = reference_forms(terms).select(F.pmod(F.xxhash64("field_name", "form"), F.lit(shards)).cast("int").alias("shard"), "field_name", F.lit(None).cast("string").alias("value"), "kind", "form", "term_id")
     spread = b.unionByName(a).repartition(shards, "shard").sortWithinPartitions("shard", F.col("value").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows, ref, memo = None, [], None, {}
+        shard, rows, ref, pairs = None, [], None, []
+
+        def found() -> pa.RecordBatch:
+            nonlocal ref, pairs
+            if pairs and ref is None:
+                ref = Reference.of_forms(rows)
+            out = [(*p, hit[0], hit[2], hit[3]) for p, hit in zip(pairs, ref.lookup(pairs) if pairs else [], strict=True)]
+            pairs = []
+            return _batch(out, ("field_name", "value", "term_id", "share", "stage"))
+
         for b in batches:
-            out = []
             for s, f, v, kind, form, k in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if s != shard:
-                    shard, rows, ref, memo = s, [], None, {}
+                    yield found()
+                    shard, rows, ref = s, [], None
                 if v is None:
                     rows.append((f, kind, form, k))
-                    continue
-                ref = ref or Reference.of_forms(rows)
-                hit = ref.lookup(f, v, memo)
-                out.append((f, v, hit[0], hit[2], hit[3]))
-            yield _batch(out, ("field_name", "value", "term_id", "share", "stage"))
+                else:
+                    pairs.append((f, v))
+            yield found()
 
     won = spread.mapInArrow(run, "field_name string, value string, term_id bigint, share double, stage int")
-    return won.groupBy("field_name", "value").agg(F.min(F.when(F.col("term_id").isNotNull(), F.struct("stage", "share", "term_id"))).alias("w")).select("field_name", "value", "w.term_id", "w.share")
+    best = won.groupBy("field_name", "value").agg(F.min(F.when(F.col("term_id").isNotNull(), F.struct("stage", "share", "term_id"))).alias("w"))
+    how = F.when(F.col("w").isNull(), F.lit("unmatched")).when(F.col("w.stage") == 0, F.lit("letter")).otherwise(F.lit("matched"))
+    return best.select("field_name", "value", "w.term_id", how.alias("how"), "w.share")

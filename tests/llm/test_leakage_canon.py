@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm import canon, leakage, queries
@@ -227,10 +228,33 @@ def test_large_reference_agrees_however_it_is_cut(spark, shards):
     assert {(r["field_name"], r["value"]): (r["term_id"], r["share"]) for r in canon.match_large(df, terms, shards=shards).collect()} == want
 
 
-def test_a_reference_too_large_for_tasks_is_refused(terms, monkeypatch):
+def test_a_reference_too_large_for_tasks_is_sharded(spark, terms, monkeypatch):
+    rows = [(f, i, v) for i, (f, v, _, _) in enumerate(CASES)]
+    df = spark.createDataFrame(rows, "field_name string, row_id long, value string")
     monkeypatch.setattr(canon, "MOST_ENTRIES", 3)
-    with pytest.raises(ValueError):
-        canon.reference_rows(terms)
+    assert canon.reference_rows(terms) is None
+    got = {r["row_id"]: (r["term_id"], r["how"]) for r in canon.match_values(df, terms).collect()}
+    assert got == {i: (k, how) for i, (_, _, k, how) in enumerate(CASES)}
+
+
+def test_many_values_are_found_as_one_by_one(monkeypatch):
+    rng = random.Random(5)
+    words = ["total", "current", "assets", "receivables", "perusahaan", "penghasilan", "komprehensif", "tax", "é", "utang", "jangka", "panjang"]
+    terms = [(k, " ".join(rng.choices(words, k=rng.randint(1, 9))), None if k % 3 else " ".join(rng.choices(words, k=2))) for k in range(80)]
+    values = []
+    for _, t, _ in terms * 3:
+        x = list(t[: rng.randint(1, len(t))] if rng.random() < 0.3 else t)
+        for _ in range(rng.randint(0, 4)):
+            x[rng.randrange(len(x))] = rng.choice("abcxyz ")
+        values.append("".join(x))
+    for shard in (5_000, 7):
+        monkeypatch.setattr(canon, "SHARD", shard)
+        m = canon.Matcher(False).build(terms)
+        assert m.find_many([*values, ""]) == [m.find(v) for v in [*values, ""]]
+        trees = [canon.BatchTree(canon.BKTree(sorted({v for v in values if v})))]
+        texts = sorted({v[:64] for v in values if v})[:60]
+        q, d, node = trees[0].within(texts, np.full(len(texts), 9))
+        assert set(zip(q.tolist(), d.tolist(), node.tolist())) == {(i, n, j) for i, a in enumerate(texts) for j, e in enumerate(trees[0].entries) if (n := canon.distance(a, e)) <= 9}
 
 
 def test_columns_of_the_stated_queries(spark, sf):
