@@ -5,12 +5,13 @@ letter case, punctuation and character forms are gone. Words are then typed:
 numbers, units and names are slots of a template, all other words its fixed part.
 Item windows are hash-joined with the corpus's windows in one pass over the
 corpus, without a shuffle: the items' windows are small, checked, and go to the
-tasks in blocks. Two joins are made so:
+tasks in blocks. The slots of a window that joins are then checked: their values map
+one to one. Two results come from this:
 
-* plain windows of five words seed ``find_leaks``, which a leak can't do without (a
-  template window it can); an exact alignment then decides;
-* wide template windows seed ``find_templates``: re-parameterised copies of an item,
-  whose slots disagree but map one to one over the whole passage.
+* ``find_leaks``: windows of five words. Those whose slots agree in value are aligned
+  with the item, exactly; re-parameterised ones beside them are counted;
+* ``find_templates``: wide windows of which some slots have other values, which map one
+  to one over the whole passage.
 """
 
 from __future__ import annotations
@@ -25,30 +26,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.tokens import slices
+
 #: A leak: so many successive words of an item, at most so many changed, dropped or added.
 WORDS, EDITS = 20, 3
 #: Words of a seed window: WORDS - EDITS words of a leak agree, in at most EDITS + 1
 #: runs, so one of the runs has at least ceil(17 / 4) = 5 words.
 SEED = 5
+#: Fixed words that let a seed window join by its template; one with fewer (of names
+#: and numbers mostly) says nothing without their values, and joins by these.
+FIXED = 3
 #: Tokens of a template window.
 TEMPLATE = 14
+#: Bytes of text that are searched at once.
+SLICE = 3_000_000
 #: Windows of items that go to the tasks at once; more items are taken in blocks.
 BLOCK_WINDOWS = 2_000_000
 
-_TAG_BLOCK = re.compile(r"(?i)</?(?:p|div|br|hr|td|th|tr|table|tbody|thead|ul|ol|li|h[1-6]|section|article|pre|blockquote)\b[^<>]{0,200}>")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->", re.S)
+_TAG_BLOCK = re.compile(r"(?i)</?(?:p|div|br|hr|td|th|tr|table|tbody|thead|ul|ol|li|h[1-6]|section|article|pre|blockquote)\b[^<>]*>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#x[0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});")
 #: Lines that belong to a page, not to its text.
 FURNITURE = re.compile(
     r"(?i)\s*(?:page\s+\d+(?:\s*(?:of|/)\s*\d+)?|hal(?:aman|\.)?\s+\d+(?:\s*(?:dari|/)\s*\d+)?|[-–—]+\s*\d+\s*[-–—]+|(?:laporan tahunan|annual report)\s+\d{4}\s*\|\s*\d+|\d+\s*\|\s*(?:laporan tahunan|annual report)\s+\d{4})\s*"
 )
-#: No line of furniture is longer.
-_LONGEST_FURNITURE = 60
-#: One of these stands in every line of furniture.
-_HINTS = ("Page ", "page ", "PAGE ", "alaman ", "ALAMAN ", "hal ", "Hal ", "hal. ", "Hal. ", "—", "–", " -\n", " -\r", "| ", " |")
 #: Characters without a form of their own (zero width and the like).
 _FORMAT = {chr(c) for c in (*range(0x110), *range(0x600, 0x2070), *range(0xFE00, 0x10000), *range(0xE0000, 0xE0080)) if unicodedata.category(chr(c)) == "Cf"}
 _HYPHEN = re.compile(r"(?<=\w)[-‐­]\s*\n\s*(?=[^\W\d])")
+_BROKEN = re.compile(r"[-‐­]\s*\n")
 #: Quotes, brackets and the like before a word.
 _LEAD = re.compile(r"^[\W_]+")
 _LINES = ("\r\n", "\r", "\x0b", "\f", "\x85", "\u2028", "\u2029")
@@ -68,14 +73,13 @@ def canonical(text: str) -> str:
         import html
 
         text = html.unescape(text)
-    if any(h in text for h in _HINTS) or "-\n" in text or "-\r" in text:
-        for c in _LINES:
-            if c in text:
-                text = text.replace(c, "\n")
-        text = "\n".join([x for x in text.split("\n") if len(x) > _LONGEST_FURNITURE or not FURNITURE.fullmatch(x)])
-        if "-\n" in text:
-            text = _HYPHEN.sub("", text)
-    return text
+    for c in _LINES:
+        if c in text:
+            text = text.replace(c, "\n")
+    if "\n" not in text:
+        return "" if FURNITURE.fullmatch(text) else text
+    text = "\n".join([x for x in text.split("\n") if not FURNITURE.fullmatch(x)])
+    return _HYPHEN.sub("", text) if _BROKEN.search(text) else text
 
 
 def fold(token: str) -> str:
@@ -102,7 +106,7 @@ _GAP = -9
 class ItemIndex:
     """Windows of a block of items: vocabulary, seeds and templates."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], wide: int = TEMPLATE) -> None:
         raw = [(k, [(t, f) for t in canonical(x or "").split() if (f := fold(t))]) for k, x in items]
         self.ids = [k for k, _ in raw]
         texts = [[f for _, f in ws] for _, ws in raw]
@@ -116,8 +120,7 @@ class ItemIndex:
         slot = self.slot_of()
         at = np.concatenate([[0], np.cumsum([len(t) for t in self.texts])]).astype(np.int64)
         exact = np.array([c for t in self.texts for c in t], np.int64)
-        # item words with unmatched ones around, wide enough for any window
-        wide = 1000
+        # item words with ``wide`` unmatched ones around, enough for any window
         self.padded = np.full(len(exact) + wide * (len(self.texts) + 1), _GAP + 1, np.int32)
         self.padded_at = at[:-1] + wide * np.arange(1, len(self.texts) + 1)
         for t, begin in zip(self.texts, self.padded_at.tolist(), strict=True):
@@ -125,15 +128,16 @@ class ItemIndex:
         item = np.repeat(np.arange(len(self.texts)), np.diff(at))
         place = np.arange(len(exact)) - at[item]
         left = np.diff(at)[item] - place  # words from here to the item's end
-        self.seeds = self._index(exact, item, place, left >= SEED, SEED)
         template = np.where(slot[exact] < _OTHER, slot[exact], exact) if len(exact) else exact
+        self.slot = slot
+        self.seeds = self._index(seed_hash(exact, template), item, place, left >= SEED)
         self.form = np.full(len(self.padded), _GAP + 1, np.int32)  # as padded, slots by type
         self.form[self.padded_at[item] + place] = template
         self.templates = self._templates(template, item, place, np.flatnonzero(left >= TEMPLATE))
         self.n_windows = len(self.seeds[0])
 
     def slot_of(self) -> np.ndarray:
-        """The slot type of each code; unknown words of the corpus keep codes 0 to 3."""
+        """The slot type of each code; placeholders keep codes 0 to 3."""
         out = np.full(len(self.code) + 4, _OTHER, np.int64)
         out[:4] = range(4)
         for w, c in self.code.items():
@@ -164,8 +168,7 @@ class ItemIndex:
         return out
 
     @staticmethod
-    def _index(codes: np.ndarray, item: np.ndarray, place: np.ndarray, ok: np.ndarray, width: int) -> tuple:
-        h = window_hash(codes, width)
+    def _index(h: np.ndarray, item: np.ndarray, place: np.ndarray, ok: np.ndarray) -> tuple:
         keep = np.flatnonzero(ok[: len(h)])
         keep = keep[np.argsort(h[keep], kind="stable")]
         key, start = np.unique(h[keep], return_index=True)
@@ -194,8 +197,22 @@ def window_hash(codes: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+def seed_hash(codes: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``SEED`` words: of its template, with placeholders for
+    slots, or of the words themselves where fewer than ``FIXED`` are fixed. Runs of the
+    same words have the same hash either way."""
+    fixed = np.concatenate([[0], np.cumsum(template > _NAME)])
+    enough = fixed[SEED:] - fixed[:-SEED] >= FIXED
+    return np.where(enough, window_hash(template, SEED), ~window_hash(codes, SEED))
+
+
+#: Least code of an unknown word's value.
+_VALUE = 1 << 62
+
+
 class _Codes(dict):
-    """Raw token to code: its item word's, or the slot type of an unknown word; -1 for none."""
+    """Raw token to code: its item word's; of an unknown word a 60-bit hash of its value
+    with, in the last two bits, its slot type, whatever its case; -1 for none."""
 
     LIMIT = 1_000_000
 
@@ -205,35 +222,17 @@ class _Codes(dict):
 
     def __missing__(self, token: str) -> int:
         w = fold(token)
-        if not w:
-            code = -1
-        else:
-            code = self.index.code.get(w)
-            if code is None:
-                code = self.unknown(w)
+        code = self.index.code.get(w) if w else -1
+        if code is None:
+            h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            code = _VALUE | h >> 4 << 2 | slot_type(w, True)
         if len(self) < self.LIMIT:
             self[token] = code
         return code
 
-    def unknown(self, word: str) -> int:
-        return slot_type(word, True)  # whatever its case
-
-
-#: Least code of an unknown word's value.
-_VALUE = 1 << 62
-
-
-class _Values(_Codes):
-    """As ``_Codes``, but unknown words keep their values: a 60-bit hash and, in the
-    last two bits, the slot type."""
-
-    def unknown(self, word: str) -> int:
-        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return _VALUE | h >> 4 << 2 | slot_type(word, True)
-
 
 def kinds(flat: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """The slot type of each code of ``_Values``; ``_GAP`` between rows."""
+    """The slot type of each code; ``_GAP`` between rows."""
     known = slot[np.where((flat >= 0) & (flat < _VALUE), flat, 0)]
     return np.where(flat >= _VALUE, flat & 3, np.where(flat >= 0, known, _GAP))
 
@@ -295,25 +294,59 @@ def longest(a: list[int], b: list[int], seeds: list[tuple[int, int]], edits: int
     return most
 
 
-def _documents(b: pa.RecordBatch, codes: _Codes, pad: int, kind: type = np.int32) -> tuple[np.ndarray, np.ndarray]:
+def _documents(b: pa.RecordBatch, codes: _Codes, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """(codes of all words of a batch, with ``pad`` codes that match nothing around
     every row; start of each row's words, then one end more)."""
-    gap = np.full(pad, _GAP, kind)
+    gap = np.full(pad, _GAP, np.int64)
     parts, bounds = [gap], [pad]
     for x in b.column(1).to_pylist():
-        arr = np.array(list(map(codes.__getitem__, canonical(x).split())) if x else [], kind)
+        arr = np.array(list(map(codes.__getitem__, canonical(x).split())) if x else [], np.int64)
         arr = arr[arr >= 0]
         parts += [arr, gap]
         bounds.append(bounds[-1] + len(arr) + pad)
     return np.concatenate(parts), np.array(bounds, np.int64)
 
 
-def leaks_of_batch(b: pa.RecordBatch, index: ItemIndex, codes: _Codes, least: int, edits: int) -> Iterator[tuple[int, int, int]]:
-    """(row, item, words covered) of the leaks in a batch."""
+def _consistent(flat: np.ndarray, kind: np.ndarray, index: ItemIndex, pos: np.ndarray, item: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of seed windows that join: (whether their slots map one to one, how many slots
+    they have, how many of these have another value)."""
+    off = np.arange(SEED)
+    x, y = index.padded[(index.padded_at[item] + place)[:, None] + off], flat[pos[:, None] + off]
+    slots = kind[pos[:, None] + off] < _OTHER
+    ok = (slots | (x == y)).all(axis=1)
+    for i in range(SEED):
+        for j in range(i):
+            ok &= ~(slots[:, i] & slots[:, j]) | ((x[:, i] == x[:, j]) == (y[:, i] == y[:, j]))
+    return ok, slots.sum(axis=1), (slots & (x != y)).sum(axis=1)
+
+
+def leaks_of_batch(b: pa.RecordBatch, index: ItemIndex, codes: _Codes, least: int, edits: int) -> dict[tuple[int, int], list[int]]:
+    """(row, item) of the leaks in a batch: words covered, template windows, their
+    slots, and the slots of another value."""
     pad = least + edits
     flat, bounds = _documents(b, codes, pad)
-    pos, item, place = _matches(window_hash(flat, SEED), index.seeds)
+    kind = kinds(flat, index.slot)
+    template = np.where((kind >= 0) & (kind < _OTHER), kind, flat)
+    pos, item, place = _matches(seed_hash(flat, template), index.seeds)
+    ok, slots, changed = _consistent(flat, kind, index, pos, item, place)
+    pos, item, place, slots, changed = (x[ok] for x in (pos, item, place, slots, changed))
     doc = np.searchsorted(bounds, pos, "right") - 1
+    found: dict[tuple[int, int], list[int]] = {}
+    same = np.flatnonzero(changed == 0)  # slots agree in value: seeds of an alignment
+    for k, at, n in _aligned(flat, bounds, pad, index, doc[same], pos[same], item[same], place[same], least, edits):
+        row = found.setdefault((k, at), [0, 0, 0, 0])
+        row[0] = max(n, row[0])
+    if found:
+        pairs, which, n = np.unique(doc * len(index.ids) + item, return_inverse=True, return_counts=True)
+        sums = [np.bincount(which, w) for w in (slots, changed)]
+        for p, *row in zip(pairs.tolist(), n.tolist(), *(s.astype(np.int64).tolist() for s in sums), strict=True):
+            if (got := found.get(divmod(p, len(index.ids)))) is not None:
+                got[1:] = row
+    return found
+
+
+def _aligned(flat: np.ndarray, bounds: np.ndarray, pad: int, index: ItemIndex, doc: np.ndarray, pos: np.ndarray, item: np.ndarray, place: np.ndarray, least: int, edits: int) -> Iterator[tuple[int, int, int]]:
+    """(row, item, words covered) around seeds, where these are enough."""
     if not len(doc):
         return
     # runs: agreeing windows that follow each other on one diagonal are one
@@ -418,34 +451,35 @@ def slot_pairs(flat: np.ndarray, slot: np.ndarray, text: list[int], run: tuple)
     return [(at, x, y) for at, (x, y) in enumerate(here) if slot[x] < _NAME or slot[x] == _NAME and inner[0] <= at < inner[1]]
 
 
-def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[ItemIndex]:
+def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", wide: int = TEMPLATE) -> Iterator[ItemIndex]:
     """The stated items in blocks whose windows fit a task; rows sent again count once."""
     block, size = [], 0
     rows = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).groupBy(F.col(item_id).alias("k")).agg(F.max(text).alias("t")).orderBy("k")
     for r in rows.toLocalIterator():
         n = len(r["t"].split())
         if block and size + n > BLOCK_WINDOWS:
-            yield ItemIndex(block)
+            yield ItemIndex(block, wide)
             block, size = [], 0
         block.append((r["k"], r["t"]))
         size += n
     if block:
-        yield ItemIndex(block)
+        yield ItemIndex(block, wide)
 
 
-def _scan(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, schema: str, each, coded: type[_Codes] = _Codes) -> DataFrame:
+def _scan(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, schema: str, each, wide: int = TEMPLATE) -> DataFrame:
     """``each(batch, index, codes)`` over the corpus for every block of items."""
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     kinds = dict(src.dtypes)["doc_id"], dict(items.dtypes)[item_id]
     out = None
-    for index in item_blocks(items, item_id, item_text):
+    for index in item_blocks(items, item_id, item_text, wide):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            codes = coded(index)
+            codes = _Codes(index)
             for b in batches:
-                yield each(b, index, codes)
+                for at, n in slices(b.column(1), SLICE):
+                    yield each(b.slice(at, n), index, codes)
 
         part = src.mapInArrow(run, schema.format(*kinds))
         out = part if out is None else out.unionByName(part)
@@ -455,24 +489,32 @@ def _scan(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: st
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = WORDS, edits: int = EDITS) -> DataFrame:
     """``doc_id``, ``item_id`` and ``n_words`` of the documents that carry at least
     ``least`` successive words of an item, at most ``edits`` of them changed, dropped
-    or added.
+    or added; beside them ``n_windows`` (template windows of the pair whose slots are
+    consistent), ``n_slots`` and ``n_changed`` (their slots, and those of another value).
 
     ``n_words`` is the most words of the item so covered. Null and empty texts, and
     items shorter than ``least`` words, give none. Rows with one ``doc_id`` and text
     sent again come out once. Whole texts are read, whatever their length; a document
     is decided on its own row, so neither a republished text nor a frequent passage
-    makes a hot group."""
+    makes a hot group.
+
+    No leak is missed: of ``least`` words all but ``edits`` agree in at most ``edits`` + 1
+    runs, so a window of ``SEED`` agrees word for word, and windows of the same words
+    always join. Other parameters are refused."""
+    if -(-(least - edits) // (edits + 1)) < SEED:
+        raise ValueError(f"windows of {SEED} words would miss passages of {least} words with {edits} edits")
 
     def each(b: pa.RecordBatch, index: ItemIndex, codes: _Codes) -> pa.RecordBatch:
-        best: dict[tuple[int, int], int] = {}
-        for k, at, n in leaks_of_batch(b, index, codes, least, edits):
-            best[k, at] = max(best.get((k, at), 0), n)
+        best = leaks_of_batch(b, index, codes, least, edits)
         rows = sorted(best)
         keys = b.column(0).take(pa.array([k for k, _ in rows], pa.int64()))
-        return pa.RecordBatch.from_arrays([keys, pa.array([index.ids[i] for _, i in rows], pa.int64()), pa.array([best[r] for r in rows], pa.int32())], ["doc_id", "item_id", "n_words"])
+        return pa.RecordBatch.from_arrays([keys, pa.array([index.ids[i] for _, i in rows], pa.int64()), *(pa.array([best[r][c] for r in rows], pa.int32()) for c in range(4))], ["doc_id", "item_id", *_COUNTS])
+
+    found = _scan(docs, items, doc_id, text, item_id, item_text, "doc_id {0}, item_id bigint, " + ", ".join(f"{c} int" for c in _COUNTS), each, least + edits)
+    return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in _COUNTS))
+
 
-    found = _scan(docs, items, doc_id, text, item_id, item_text, "doc_id {0}, item_id bigint, n_words int", each)
-    return found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
+_COUNTS = ("n_words", "n_windows", "n_slots", "n_changed")
 
 
 def find_templates(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -486,11 +528,10 @@ def find_templates(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
     unit stands for one of its type, a name for any other word, whatever its case:
     in upper-case passages nothing tells names. A name at the end of a run of agreeing
     windows, with no agreeing word beyond, is not counted unless the item ends there."""
-    slots: dict = {}
 
     def each(b: pa.RecordBatch, index: ItemIndex, codes: _Codes) -> pa.RecordBatch:
-        slot = slots.setdefault(id(index), index.slot_of())
-        flat, bounds = _documents(b, codes, TEMPLATE, np.int64)
+        slot = index.slot
+        flat, bounds = _documents(b, codes, TEMPLATE)
         got: dict[tuple[int, int], list[int]] = {}
         for k, i, runs in template_runs(flat, kinds(flat, slot), bounds, index):
             for passage in passages(runs):
@@ -512,5 +553,5 @@ def find_templates(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
         keys = b.column(0).take(pa.array([k for k, _ in rows], pa.int64()))
         return pa.RecordBatch.from_arrays([keys, pa.array([index.ids[i] for _, i in rows], pa.int64()), *(pa.array([got[r][c] for r in rows], pa.int32()) for c in range(3))], ["doc_id", "item_id", "n_windows", "n_slots", "n_changed"])
 
-    found = _scan(docs, items, doc_id, text, item_id, item_text, "doc_id {0}, item_id bigint, n_windows int, n_slots int, n_changed int", each, _Values)
+    found = _scan(docs, items, doc_id, text, item_id, item_text, "doc_id {0}, item_id bigint, n_windows int, n_slots int, n_changed int", each)
     return found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))

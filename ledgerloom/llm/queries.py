@@ -54,6 +54,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_templates(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_templates(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -66,7 +70,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_corpus(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_mapped, p6_unmatched, p7_ids, p7_words, p7_decoded, p8_found, p8_templates, p9_found, p9_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_mapped, p6_unmatched, p7_ids, p7_words, p7_decoded, p8_found, p8_evidence, p8_templates, p9_found, p9_pieces)}
 
 ORACLE: dict[str, str] = {
     # a document's text comes back from its ids; null texts as empty ones

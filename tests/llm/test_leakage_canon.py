@@ -76,6 +76,42 @@ def test_against_brute_force(spark):
     assert set(got) == want and 10 < len(want) < 60
 
 
+def test_template_windows_join_and_slots_are_checked(spark):
+    item = "the net fee of Rovan was cut by 345 percent after the review by the board of Sulimer in the month of May and by 17 percent in June as the court had asked"
+    copy = item.replace("345", "712").replace("17", "29")
+    rows = [(1, item, "x"), (2, copy, "x"), (3, item.replace("345", "712").replace("17", "29").replace("Rovan", "Belmi").replace("Sulimer", "Kestar"), "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    got = {r["doc_id"]: r.asDict() for r in leakage.find_leaks(d, spark.createDataFrame([(7, item, "t")], "item_id long, text string, task string")).collect()}
+    # two changed numbers are two changed words: still a leak; four changed words over all, but not in every twenty
+    assert set(got) == {1, 2, 3} and got[1]["n_words"] == got[2]["n_words"] == len(item.split())
+    assert got[1]["n_changed"] == 0 and got[1]["n_slots"] >= got[2]["n_slots"] > got[2]["n_changed"] > 0
+    index = leakage.ItemIndex([(7, item)])
+    same = leakage.seed_hash(np.array([9, 8, 7, 6, 5]), np.array([0, 8, 7, 6, 2])), leakage.seed_hash(np.array([3, 8, 7, 6, 1]), np.array([0, 8, 7, 6, 2]))
+    assert same[0] == same[1] and index.n_windows
+    assert leakage.seed_hash(np.array([9, 8, 7, 6, 5]), np.array([0, 2, 7, 6, 2])) != leakage.seed_hash(np.array([3, 8, 7, 6, 5]), np.array([0, 2, 7, 6, 2]))
+
+
+def test_parameters_that_would_miss_passages_are_refused(spark):
+    with pytest.raises(ValueError):
+        leaks(spark, [], [], least=18, edits=3)
+
+
+def test_markup_and_furniture_of_any_length():
+    tag = '<span class="' + "x" * 900 + '">'
+    assert leakage.words(f"a {tag}b</span> c<div style='{'y' * 400}'>d") == ["a", "b", "c", "d"]
+    for line in ("HAL 12", "hal 12", "Hal. 3 dari 9", "- 12 -", "-- 7 --", "PAGE 3 OF 10", "Page" + " " * 90 + "4", "Annual Report 2020 | 7", "12 | LAPORAN TAHUNAN 2020"):
+        for text in (f"a\n{line}\nb", f"a b\n{line}", f"{line}\r\na b"):
+            assert leakage.words(text) == ["a", "b"], (line, text)
+    assert leakage.words("Page 3") == [] and leakage.words("see page 3") == ["see", "page", "3"]
+
+
+def test_long_passages_need_long_windows(spark):
+    p = ["".join(chr(97 + int(c)) for c in str(i)) for i in range(3000)]
+    half = p[:1100] + ["zz"] * 20 + p[1120:2400]
+    got = leaks(spark, [(1, " ".join(half), "x"), (2, " ".join(p[:1050]), "x")], [(5, " ".join(p), "t")], least=1200, edits=3)
+    assert set(got) == {(1, 5)}
+
+
 def test_reach_is_exact():
     a, b = list("abcdefgh"), list("abXcdfgh")
     assert leakage.reach([ord(c) for c in a], [ord(c) for c in b], 0, 0, 1) == [2, 4, 8, 8]
