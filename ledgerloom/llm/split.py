@@ -1,12 +1,12 @@
 """Cutting oversized texts into pieces at natural boundaries.
 
 Sizes are tokens of a public tokenizer. A text within the limit is one piece. A
-larger one is encoded once; from each start the furthest cut within the limit is
-sought down a hierarchy of separators (section, paragraph, line, sentence, word,
-character): the first level with a boundary anywhere in the room gives the cut, its
-last boundary there. So a section that doesn't fit any more is left whole for the next
-piece, and only one larger than a piece is cut at the next level. Each piece after the first begins with the last
-``overlap`` tokens of the piece before.
+larger one is encoded once and split down a hierarchy of separators: into sections,
+those that are larger than a piece into paragraphs, these into lines, sentences, words
+and at last characters. The parts are packed into pieces greedily, in order, as long as
+they fit; a piece ends before a part that doesn't, and only a part at the beginning of a
+piece is split further. Each piece after the first begins with the last ``overlap``
+tokens of the piece before.
 """
 
 from __future__ import annotations
@@ -33,68 +33,86 @@ SEPARATORS = (
 )
 
 
-def token_ends(text: str, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The character position after each token, -1 where a token ends inside a character."""
+def token_ends(text: str, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(characters that are complete after each token, whether it ends one)."""
     ends = np.cumsum(sizes[ids])
     raw = text.encode("utf-8", "surrogatepass")
     if len(raw) == len(text):
-        return ends
+        return ends, np.ones(len(ends), bool)
     begins = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80  # first bytes of characters
     before = np.concatenate([[0], np.cumsum(begins)])
-    whole = np.concatenate([begins, [True]])
-    return np.where(whole[ends], before[ends], -1)
-
-
-def _cut(text: str, ends: np.ndarray, low: int, high: int) -> int:
-    """The number of tokens up to the best cut with low < it <= high."""
-    there = np.flatnonzero(ends[low:high] >= 0) + low + 1  # token counts that end on a character
-    if not len(there):
-        return high
-    chars = ends[there - 1]
-    left, right = int(chars[0]), int(chars[-1])
-    # context on both sides, so that patterns see what stands around the window
-    view = text[max(0, left - 80) : right + 80]
-    shift = max(0, left - 80)
-    known = dict(zip(chars.tolist(), there.tolist(), strict=True))
-    for pattern in SEPARATORS:
-        best = 0
-        for m in pattern.finditer(view):
-            at = m.end() + shift
-            if at > right:
-                break
-            best = known.get(at, best)
-        if best:
-            return best
-    return int(there[-1])
+    whole = np.concatenate([begins, [True]])[ends]
+    return np.where(whole, before[ends], before[ends] - 1), whole
+
+
+class _Parts:
+    """A text's parts by separators, as ranges of tokens."""
+
+    def __init__(self, text: str, ends: np.ndarray, whole: np.ndarray) -> None:
+        self.text, self.ends = text, ends
+        self.cuts = np.flatnonzero(whole) + 1  # token counts that end on a character
+        self.chars = ends[whole]  # increasing: where they end
+
+    def split(self, low: int, high: int, level: int) -> list[tuple[int, int, int]]:
+        """The parts of tokens low to high at a level, last one first, with the level
+        that would split them further."""
+        begin, end = int(self.ends[low - 1]) if low else 0, int(self.ends[high - 1])
+        found = np.array([m.end() for m in SEPARATORS[level].finditer(self.text, begin, min(len(self.text), end + 80))], np.int64)
+        at = np.searchsorted(self.chars, found[found < end])
+        cuts = self.cuts[at][self.chars[at] == found[found < end]]
+        bounds = [low, *cuts[(cuts > low) & (cuts < high)].tolist(), high]
+        return [(a, b, level + 1) for a, b in zip(bounds[-2::-1], bounds[:0:-1], strict=True)]
+
+    def characters(self, low: int, room: int, most: int) -> int:
+        """The last token up to low + room that ends a character; if none does, the
+        first up to low + most; else low + room."""
+        k = int(np.searchsorted(self.cuts, low + room, "right")) - 1
+        if k >= 0 and self.cuts[k] > low:
+            return int(self.cuts[k])
+        return int(self.cuts[k + 1]) if k + 1 < len(self.cuts) and self.cuts[k + 1] <= low + most else low + room
 
 
 def split_text(text: str, enc, limit: int = LIMIT, overlap: int = OVERLAP, ids: np.ndarray | None = None, sizes: np.ndarray | None = None) -> list[tuple[int, int, int, np.ndarray]]:
     """(start, fresh, end, ids) of each piece: characters start to end, of which those
     before ``fresh`` repeat the piece before. The ids are the text's own, so without
-    their overlaps they add up to the ids of the whole text."""
+    their overlaps they add up to the ids of the whole text, and no piece has more than
+    ``limit``. Room is left where the repeated part, read on its own, encodes longer; a
+    limit that leaves no such room is kept in the text's own ids only. A piece that can't
+    hold a whole character ends inside one, which then counts to the piece behind."""
     if limit <= overlap:
         raise ValueError("the limit must exceed the overlap")
     ids = np.asarray(enc.encode_ordinary(text) if ids is None else ids, np.int32)
-    if len(ids) <= limit:
+    n = len(ids)
+    if n <= limit:
         return [(0, 0, len(text), ids)]
-    ends = token_ends(text, ids, piece_sizes(enc) if sizes is None else sizes)
-    starts = np.concatenate([[0], ends])
+    ends, whole = token_ends(text, ids, piece_sizes(enc) if sizes is None else sizes)
+    starts, clean = np.concatenate([[0], ends]), np.concatenate([[True], whole])
+    parts, todo = _Parts(text, ends, whole), [(0, n, 0)]
     out, done = [], 0
-    while True:
+    while done < n:
         first = max(0, done - overlap)
         a = first
-        while a and starts[a] < 0:  # a token that begins inside a character: take the character whole
+        while not clean[a]:  # a token that begins inside a character: take the character whole
             a -= 1
-        room = limit - (done - first)
-        if done:
-            # read on its own, the repeated part may encode longer, as it may begin inside a word
-            room -= max(0, len(enc.encode_ordinary(text[starts[a] : starts[done]])) - (done - first)) if starts[done] >= 0 else 8
-        stop = len(ids) if len(ids) - done <= room else _cut(text, ends, done, done + room)
-        end = int(starts[stop]) if starts[stop] >= 0 else len(text)
-        out.append((int(starts[a]), int(starts[done]), end, ids[first:stop]))
-        if stop >= len(ids):
-            return out
+        most = limit - (done - first)
+        longer = len(enc.encode_ordinary(text[starts[a] : starts[done]])) - (done - first) if done else 0  # it may begin inside a word
+        room, stop = min(most, max(1, most - max(0, longer))), done
+        while todo:
+            low, high, level = todo[-1]
+            if high <= done + room:
+                stop = high
+                todo.pop()
+            elif stop > done:
+                break  # the piece ends before a part that doesn't fit
+            elif level < len(SEPARATORS):
+                todo[-1:] = parts.split(low, high, level)
+            else:
+                stop = parts.characters(low, room, most)
+                todo[-1] = (stop, high, level)
+                break
+        out.append((int(starts[a]), int(starts[done]), int(starts[stop]), ids[first:stop]))
         done = stop
+    return out
 
 
 def piece_sizes(enc) -> np.ndarray:

@@ -112,6 +112,33 @@ def test_any_text_is_covered(text):
     check(text, 30, 6)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.text(st.sampled_from("ab .\n漢é🙂\U00020000") | st.characters(codec="utf-8"), max_size=300), st.sampled_from([0, 1, 7, 64]), st.integers(1, 9))
+def test_any_limit_comes_to_an_end(text, overlap, more):
+    limit, ids = overlap + more, ENC.encode_ordinary(text)
+    parts = split.split_text(text, ENC, limit, overlap)
+    assert "".join(text[f:e] for _, f, e, _ in parts) == text
+    flat: list[int] = []
+    for s, f, e, own in parts:
+        assert s <= f <= e and (len(own) <= limit or len(parts) == 1)
+        flat += list(own[min(overlap, len(flat)) :])
+    assert flat == ids
+
+
+def test_every_level_is_reached():
+    para = "One went out. Two came in. "
+    text = "\n\n".join(["# A\n" + para * 3, "# B\n" + (para * 4 + "\n\n") * 4, "# C\n" + (para + "\n") * 12, "# D\n" + para * 20, "# E\n" + "word " * 300, "# F\n" + "x" * 3000])
+    ends = {e for _, _, e, _ in check(text, 60, 5)[:-1]}
+    kinds = {"section": any(text[e:].startswith("# ") for e in ends), "paragraph": any(text[:e].endswith("\n\n") and text[e:].startswith("One") for e in ends), "line": any(text[:e].endswith("in. \n") and text[e:].startswith("One") for e in ends), "sentence": any(text[:e].endswith(".") for e in ends), "word": any(text[:e].endswith("word") for e in ends), "character": any(text[e - 1 : e + 1] == "xx" for e in ends)}
+    assert all(kinds.values()), kinds
+
+
+def test_small_parts_are_packed_together():
+    text = "\n\n".join(f"# {i}\nA section of few words." for i in range(100))
+    parts = check(text, 100, 10)
+    assert all(len(own) > 75 for *_, own in parts[:-1]) and all(text[e:].startswith("#") for _, _, e, _ in parts[:-1])
+
+
 def test_a_limit_must_exceed_the_overlap():
     with pytest.raises(ValueError):
         split.split_text("x", ENC, 10, 10)
