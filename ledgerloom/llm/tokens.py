@@ -33,6 +33,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 TABLE_WORDS = 1_000_000
 #: Words of the corpus-wide table that go to every task: some tens of MB at most.
 SHARED_WORDS = 500_000
+#: Words of texts that are joined to their ids at once.
+SLICE_WORDS = 1_000_000
 #: The pre-token pattern in the JVM's dialect.
 _JVM_PATTERN = r"(?U)'(?:s|t|re|ve|m|ll|d)| ?(?:\p{L}++|\p{N}++|[^\s\p{L}\p{N}]++)|\s+(?!\S)|\s++"
 #: Code points that the JVM's Unicode version does not know; texts with any are encoded whole.
@@ -152,11 +154,13 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(folder, name).encode_ordinary
         joiner = WordJoin(shared.value, WordTable(encode))
-        for b in batches:
-            ids, odd = joiner.join(b.column(1)), b.column(2)
-            if odd.null_count < len(odd):
-                ids = pa.array([encode(o) if o is not None else i for i, o in zip(ids.to_pylist(), odd.to_pylist(), strict=True)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
+        for whole in batches:
+            for at, m in parts(pc.fill_null(pc.list_value_length(whole.column(1)), 0).to_numpy(zero_copy_only=False), SLICE_WORDS):
+                b = whole.slice(at, m)
+                ids, odd = joiner.join(b.column(1)), b.column(2)
+                if odd.null_count < len(odd):
+                    ids = pa.array([encode(o) if o is not None else i for i, o in zip(ids.to_pylist(), odd.to_pylist(), strict=True)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
 
     return src.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
@@ -193,9 +197,8 @@ class WordJoin:
         return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
-def slices(texts: pa.Array, most: int = 16_000_000) -> Iterator[tuple[int, int]]:
-    """(start, length) parts of a batch of at most ``most`` bytes of text each, one row at least."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+def parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(start, length) parts of rows of at most ``most`` size together, one row at least."""
     at, total = 0, 0
     for k, s in enumerate(sizes.tolist()):
         if k > at and total + s > most:
@@ -206,6 +209,11 @@ def slices(texts: pa.Array, most: int = 16_000_000) -> Iterator[tuple[int, int]]
         yield at, len(sizes) - at
 
 
+def slices(texts: pa.Array, most: int = 16_000_000) -> Iterator[tuple[int, int]]:
+    """(start, length) parts of a batch of at most ``most`` bytes of text each, one row at least."""
+    return parts(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), most)
+
+
 def word_table(words: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
     """``word``, ``n`` (how often it occurs) and ``ids`` of the distinct words of a
     corpus, each encoded once; counts combine map-side."""
