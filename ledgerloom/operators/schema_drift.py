@@ -6,8 +6,10 @@ Three steps, each a DataFrame:
   (sheets, fields in order of first appearance, types, labels) and its hash.
 * ``schema_changes``: each file against the one before it in its feed. Files of
   an unchanged fingerprint drop out before any comparison.
-* ``consistent_items``: every item under its feed's latest names and types, by
-  chaining the migration steps after the file: rename, cast, default.
+* ``migrations``: for each file, the chain of rename steps after it folded into one
+  map from its names to the feed's latest.
+* ``consistent_items``: every item under its feed's latest names and types: each file
+  meets its map, then rename, cast and default rules apply.
 """
 
 from __future__ import annotations
@@ -168,21 +170,71 @@ def schema_changes(prints: DataFrame) -> DataFrame:
     return moved.mapInArrow(run, f"feed_id {kinds['feed_id']}, file_id {kinds['file_id']}, delivered_at {kinds['delivered_at']}, sheet_name string, field string, change string, former string")
 
 
-def migrate(rows: list[dict], steps: list[list[tuple[str, str, str, str]]], final: dict[tuple[str, str], str | None]) -> list[dict]:
-    """Rows {sheet, field, value, ...} under the names after ``steps``, cast to the
-    ``final`` types, with a row for every final field an item lacks."""
+def compose(old: list, new: list, names: dict) -> dict:
+    """The map of the file before: ``names`` maps the newer schema's (sheet, field) to
+    (latest name, rules); field None stands for the sheet. Removed names keep theirs."""
+    renamed: dict = {}
+    for sheet, field, change, former in compare(old, new):
+        if change == "renamed":
+            renamed[(former, None) if not field else (sheet, former)] = (sheet, field or None)
+    out: dict = {}
+    for sheet, _, fields, _ in old:
+        moved = renamed.get((sheet, None))
+        here = moved[0] if moved else sheet
+        last, rules = names.get((here, None), (here, ()))
+        out[sheet, None] = last, (("rename sheet", *rules) if moved else rules)
+        for field, _ in fields:
+            other = renamed.get((here, field))
+            name, rules = names.get((here, other[1] if other else field), (other[1] if other else field, ()))
+            out[sheet, field] = name, (("rename field", *rules) if other else rules)
+    return out
+
+
+def _identity(schema: list) -> dict:
+    return {(s, None): (s, ()) for s, *_ in schema} | {(s, f): (f, ()) for s, _, fields, _ in schema for f, _ in fields}
+
+
+def migrations(prints: DataFrame) -> DataFrame:
+    """``file_id``, ``names`` and ``final`` (JSON): the map of each file's names to its
+    feed's latest, and the latest schema.
+
+    A feed's fingerprints, not its bodies, stream by from the latest back, the map
+    growing by one step wherever two neighbours differ; only one schema and one map are
+    held, however long the feed."""
+    kinds = dict(prints.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        feed, newer, mark, names, final, text = None, None, None, {}, "", ""
+        for b in batches:
+            rows = []
+            for file, g, schema, fingerprint in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if g != feed or newer is None:
+                    feed, newer = g, json.loads(schema)
+                    names, final = _identity(newer), json.dumps([[s, fields] for s, _, fields, _ in newer], ensure_ascii=False)
+                    text = ""
+                elif fingerprint != mark:
+                    older = json.loads(schema)
+                    names, newer, text = compose(older, newer, names), older, ""
+                else:
+                    newer = json.loads(schema)  # the same names and types; labels may differ
+                mark = fingerprint
+                text = text or json.dumps([[s, f, n, r] for (s, f), (n, r) in names.items()], ensure_ascii=False)
+                rows.append((file, text, final))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [b.schema.field(0).type, pa.string(), pa.string()], strict=True)], ["file_id", "names", "final"])
+
+    back = prints.repartition("feed_id").sortWithinPartitions("feed_id", F.desc_nulls_last("delivered_at"), F.desc("file_id"))
+    return back.select("file_id", "feed_id", "schema", "fingerprint").mapInArrow(run, f"file_id {kinds['file_id']}, names string, final string")
+
+
+def migrate(rows: list[dict], names: dict, final: dict[tuple[str, str], str | None]) -> list[dict]:
+    """Rows {sheet, field, value, ...} under their latest ``names``, cast to the
+    ``final`` types."""
     out = []
     for r in rows:
-        sheet, field, rules = r["sheet"], r["field"], []
-        for step in steps:
-            renamed = next((c for c in step if c[1] == "" and c[2] == "renamed" and c[3] == sheet), None)
-            if renamed:
-                sheet = renamed[0]
-                rules.append("rename sheet")
-            moved = next((c for c in step if c[0] == sheet and c[1] and c[2] == "renamed" and c[3] == field), None)
-            if moved:
-                field = moved[1]
-                rules.append("rename field")
+        sheet, sheet_rules = names.get((r["sheet"], None), (r["sheet"], ()))
+        field, field_rules = names.get((r["sheet"], r["field"]), (r["field"], ()))
+        rules = [*sheet_rules, *field_rules]
         kind, v = final.get((sheet, field)), r["value"]
         number = text = flag = None
         if isinstance(v, bool):
@@ -211,49 +263,62 @@ def consistent_items(df: DataFrame, file_id: str = "file_id", feed: str = "feed_
     calls them now, ``type`` and the value as ``number``, ``text`` and ``flag``;
     ``rules`` lists the rename, cast and default rules applied to it. Fields the
     latest schema has and an item lacks come as null under the rule "default"; a
-    field removed for good keeps its last name and has no type. The steps of a feed
-    are one row of its changed files only, whose number is that of schema versions,
-    not of files; a hot feed's files stay spread, as the join is on the small side."""
-    prints = fingerprints(df, file_id, feed, at, body)
-    steps = schema_changes(prints).groupBy("feed_id", "file_id", "delivered_at").agg(F.collect_list(F.struct("sheet_name", "field", "change", "former")).alias("c"))
-    rules = steps.groupBy("feed_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("delivered_at", "file_id", "c")))).alias("steps"))
-    latest = prints.groupBy("feed_id").agg(F.max_by("schema", F.struct("delivered_at", "file_id")).alias("final"))
+    field removed for good keeps its last name and has no type. Each file is joined
+    with its own map (``migrations``), so a hot feed's bodies stay spread. Bodies that
+    can't be read have no rows here; ``unreadable_statements`` lists them."""
+    maps = migrations(fingerprints(df, file_id, feed, at, body))
     src = (
         df.where(F.col(feed).isNotNull())
         .groupBy(F.col(file_id).alias("file_id"))
         .agg(F.max(F.struct(F.col(at).alias("delivered_at"), F.col(feed).alias("feed_id"), F.col(body).alias("body"))).alias("r"))
-        .select("file_id", "r.feed_id", "r.delivered_at", "r.body")
+        .select("file_id", "r.feed_id", "r.body")
     )
-    order = F.to_json(F.struct("delivered_at", "file_id"))
-    joined = src.join(latest.join(rules, "feed_id", "left"), "feed_id").select("file_id", "feed_id", order.alias("o"), "body", "steps", "final")
+    joined = src.join(maps, "file_id").select("file_id", "feed_id", "body", "names", "final")
     kinds = dict(joined.dtypes)
     fields = [("sheet_name", pa.string()), ("item_no", pa.int32()), ("label", pa.string()), ("field", pa.string()), ("type", pa.string()), ("number", pa.float64()), ("text", pa.string()), ("flag", pa.bool_()), ("rules", pa.list_(pa.string()))]
 
+    def batch(rows: list[tuple], b: pa.RecordBatch) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 11
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [b.schema.field(0).type, b.schema.field(1).type, *[t for _, t in fields]], strict=True)], ["file_id", "feed_id", *[n for n, _ in fields]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for f, g, o, x, steps, final in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for f, g, x, texts, final in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 statement = parse_statement(x)
-                if statement is None:
-                    continue
-                mine = json.loads(o)
-                later = [[(c["sheet_name"], c["field"], c["change"], c["former"]) for c in s["c"]] for s in json.loads(steps or "[]") if (s.get("delivered_at") or "", s["file_id"]) > (mine.get("delivered_at") or "", mine["file_id"])]
-                types = {(s[0], fld): t for s in json.loads(final) for fld, t in s[2]}
+                names = {(s, fld): (n, tuple(r)) for s, fld, n, r in json.loads(texts)}
+                types = {(s, fld): t for s, fs in json.loads(final) for fld, t in fs}
                 wanted: dict[str, list[str]] = {}
                 for s, fld in types:
                     wanted.setdefault(s, []).append(fld)
                 for _, sheet in sheets_of(statement):
                     name = sheet.get("name") if isinstance(sheet.get("name"), str) else ""
+                    here = names.get((name, None), (name, ()))[0]
                     for n, item in items_of(sheet):
                         values = item.get("values") if isinstance(item.get("values"), dict) else {}
                         label = item.get("label") if isinstance(item.get("label"), str) else None
-                        done = migrate([{"sheet": name, "field": k, "value": v} for k, v in values.items()], later, types)
-                        # the sheet's present name, also for an item without values
-                        here = done[0]["sheet"] if done else migrate([{"sheet": name, "field": "", "value": None}], later, types)[0]["sheet"]
+                        done = migrate([{"sheet": name, "field": k, "value": v} for k, v in values.items()], names, types)
                         have = {d["field"] for d in done}
                         done += [{"sheet": here, "field": k, "type": types[here, k], "number": None, "text": None, "flag": None, "rules": ["default"]} for k in wanted.get(here, ()) if k not in have]
                         rows += [(f, g, d["sheet"], n, label, d["field"], d["type"], d["number"], d["text"], d["flag"], d["rules"]) for d in done]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 11
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [b.schema.field(0).type, b.schema.field(1).type, *[t for _, t in fields]], strict=True)], ["file_id", "feed_id", *[n for n, _ in fields]])
+                if len(rows) > 20_000:
+                    yield batch(rows, b)
+                    rows = []
+            yield batch(rows, b)
 
     return joined.mapInArrow(run, f"file_id {kinds['file_id']}, feed_id {kinds['feed_id']}, sheet_name string, item_no int, label string, field string, type string, number double, text string, flag boolean, rules array<string>")
+
+
+def unreadable_statements(df: DataFrame, file_id: str = "file_id", feed: str = "feed_id", body: str = "body") -> DataFrame:
+    """``file_id`` and ``reason`` of the files that no table of this module holds: "no
+    feed", or "no statement" for a body that is no complete JSON object. Rows sent again
+    count once; a file counts if none of its rows can be read."""
+    src = df.select(F.col(file_id).alias("file_id"), F.col(feed).isNull().alias("lost"), F.col(body).alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            why = ["no feed" if lost else "no statement" if parse_statement(x) is None else None for lost, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(why, pa.string())], ["file_id", "reason"])
+
+    told = src.mapInArrow(run, f"file_id {dict(src.dtypes)['file_id']}, reason string")
+    return told.groupBy("file_id").agg(F.count_if(F.col("reason").isNull()).alias("n"), F.max("reason").alias("reason")).where(F.col("n") == 0).drop("n")

@@ -23,6 +23,10 @@ def p1_items(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.consistent_items(table(spark, d, "statement_files"))
 
 
+def p1_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.unreadable_statements(table(spark, d, "statement_files"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_diff.snapshot_changes(table(spark, d, "registry_snapshots"))
 
@@ -103,4 +107,4 @@ def p5_unreadable(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_items, p2_found, p3_found, p3_quantities, p3_held_out, p4_found, p4_wide, p5_found, p5_attachments, p5_items, p5_sheets, p5_results, p5_values, p5_variants, p5_variant_attachments, p5_variant_items, p5_unreadable)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_items, p1_unreadable, p2_found, p3_found, p3_quantities, p3_held_out, p4_found, p4_wide, p5_found, p5_attachments, p5_items, p5_sheets, p5_results, p5_values, p5_variants, p5_variant_attachments, p5_variant_items, p5_unreadable)}

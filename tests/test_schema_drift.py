@@ -60,6 +60,19 @@ def test_chained_migration(spark):
     assert got[3, "B", "p3"] == (1.0, "1", [])
 
 
+def test_order_within_a_millisecond_and_unreadable_bodies(spark):
+    at = [datetime(2024, 1, 1, 0, 0, 0, k) for k in (300, 200, 100)]
+    rows = [
+        (1, 1, at[0], body(("A", [("x", {"new": 1})]))), (2, 1, at[1], body(("A", [("x", {"mid": 1})]))), (3, 1, at[2], body(("A", [("x", {"old": 1})]))),
+        (4, 1, at[0], "{"), (5, None, at[0], body(("A", []))), (6, 2, None, None), (7, 2, at[0], body(("S", [("x", {"a": 1, "b": "t"})]))), (8, 2, None, body(("S", [("x", {"a": 2})]))),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r["file_id"], r["field"]): (r["text"], r["rules"]) for r in sd.consistent_items(df).collect()}
+    assert got == {(1, "new"): ("1", []), (2, "new"): ("1", ["rename field"]), (3, "new"): ("1", ["rename field"] * 2), (7, "a"): ("1", []), (7, "b"): ("t", []), (8, "a"): ("2", []), (8, "b"): (None, ["default"])}
+    assert sorted(map(tuple, sd.unreadable_statements(df).collect())) == [(4, "no statement"), (5, "no feed"), (6, "no statement")]
+    assert sd.consistent_items(df.limit(0)).count() == 0
+
+
 def test_found_against_brute_force(spark, sf):
     rows = {r["file_id"]: r for r in general.table(spark, sf, "statement_files").collect()}
     feeds: dict = {}
