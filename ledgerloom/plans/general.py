@@ -52,6 +52,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_wide(spark, d).select("ticker", "period", F.explode("conflicts").alias("concept"))
 
 
+def p4_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table's cells as rows again: doubles as ``number``, others as text."""
+    wide_rows = p4_wide(spark, d)
+    kinds = {c: k for c, k in wide_rows.dtypes if c not in ("ticker", "period", "conflicts")}
+    number = lambda c, k: F.col(c) if k == "double" else F.lit(None).cast("double")
+    text = lambda c, k: F.lit(None).cast("string") if k == "double" else F.col(c).cast("string")
+    cell = F.explode(F.array(*[F.struct(F.lit(c).alias("concept"), text(c, k).alias("value"), number(c, k).alias("number")) for c, k in kinds.items()])).alias("c")
+    return wide_rows.select("ticker", "period", cell).where("c.value is not null or c.number is not null").select("ticker", "period", "c.*")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every inner object, by way of its variant: the keys that all subtype tables share."""
     both = _variants(spark, d, "response", ("attachment",)).withColumn("src", F.lit("response")).unionByName(_variants(spark, d, "statement", ("item",)).withColumn("src", F.lit("statement")))
@@ -68,19 +78,19 @@ def _variants(spark: SparkSession, d: str, src: str, kinds: tuple[str, ...] = ()
 
 def p5_attachments(spark: SparkSession, d: str) -> DataFrame:
     schema = "File_Name string, File_Path string, File_Type string, File_Size string, Emiten_Code string, Report_Period string, Report_Year string"
-    return flatten.subtype_table(_variants(spark, d, "response", ("attachment",), True), "attachment", schema)
+    return flatten.subtype_table(_variants(spark, d, "response", ("attachment",), True), "attachment", schema).drop("variant", "members")
 
 
 def p5_items(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.subtype_table(_variants(spark, d, "statement", ("item",), True), "item", "label string")
+    return flatten.subtype_table(_variants(spark, d, "statement", ("item",), True), "item", "label string").drop("variant", "members")
 
 
 def p5_sheets(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.subtype_table(_variants(spark, d, "statement", ("sheet",), True), "sheet", "name string, currency string, hidden boolean").drop("inner_no")
+    return flatten.subtype_table(_variants(spark, d, "statement", ("sheet",), True), "sheet", "name string, currency string, hidden boolean").drop("inner_no", "variant", "members")
 
 
 def p5_results(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.subtype_table(_variants(spark, d, "response", ("result",), True), "result", "Emiten struct<Code:string,Boards:array<string>>").drop("inner_no")
+    return flatten.subtype_table(_variants(spark, d, "response", ("result",), True), "result", "Emiten struct<Code:string,Boards:array<string>>").select("parent_id", "outer_no", F.col("Emiten.Code").alias("emiten"), F.array_join("Emiten.Boards", "|").alias("boards"))
 
 
 def p5_values(spark: SparkSession, d: str) -> DataFrame:
@@ -107,4 +117,4 @@ def p5_unreadable(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_items, p1_unreadable, p2_found, p3_found, p3_quantities, p3_held_out, p4_found, p4_wide, p5_found, p5_attachments, p5_items, p5_sheets, p5_results, p5_values, p5_variants, p5_variant_attachments, p5_variant_items, p5_unreadable)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_items, p1_unreadable, p2_found, p3_found, p3_quantities, p3_held_out, p4_found, p4_wide, p4_cells, p5_found, p5_attachments, p5_items, p5_sheets, p5_results, p5_values, p5_variants, p5_variant_attachments, p5_variant_items, p5_unreadable)}

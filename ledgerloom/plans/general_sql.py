@@ -1,4 +1,4 @@
-"""SQL for p2 and p4, written independently of the operators."""
+"""SQL for p2, p4 and p5, written independently of the operators."""
 
 from __future__ import annotations
 
@@ -69,4 +69,46 @@ z AS (SELECT k, o, {_ITEMS} AS l FROM h WHERE json_type(s) = 'OBJECT'),
 u AS (SELECT 'response' AS src, k, o, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS j FROM y UNION ALL SELECT 'statement', k, o, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) FROM z)
 SELECT DISTINCT src, k AS parent_id, o AS outer_no, CAST(j AS INTEGER) AS inner_no FROM u WHERE json_type(json_extract(l, '$[' || j || ']')) = 'OBJECT'"""
 
-SQL: dict[str, str] = {"p2_found": _P2, "p4_found": _P4, "p5_found": _P5}
+_P5_BODY = _P5[: _P5.index("u AS (SELECT")]
+_ATTACHMENT = f"""{_P5_BODY}u AS (SELECT k, o, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS j FROM y),
+e AS (SELECT DISTINCT k AS parent_id, o AS outer_no, CAST(j AS INTEGER) AS inner_no, json_extract(l, '$[' || j || ']') AS x FROM u) """
+_ITEM = f"""{_P5_BODY}u AS (SELECT k, o, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS j FROM z),
+e AS (SELECT DISTINCT k AS parent_id, o AS outer_no, CAST(j AS INTEGER) AS inner_no, json_extract(l, '$[' || j || ']') AS x FROM u) """
+_TEXTS = ("File_Name", "File_Path", "File_Type", "Emiten_Code", "Report_Period", "Report_Year")
+
+
+def _text(m: str) -> str:
+    return f"json_extract_string(x, '$.{m}') AS \"{m}\""
+
+
+_P5_ATTACHMENTS = f"{_ATTACHMENT}SELECT parent_id, outer_no, inner_no, {', '.join(map(_text, (*_TEXTS, 'File_Size')))} FROM e WHERE json_type(x) = 'OBJECT'"
+_P5_ITEMS = f"{_ITEM}SELECT parent_id, outer_no, inner_no, json_extract_string(x, '$.label') AS label FROM e WHERE json_type(x) = 'OBJECT'"
+_P5_SHEETS = f"""{_P5_BODY}e AS (SELECT DISTINCT k AS parent_id, o AS outer_no, s AS x FROM h)
+SELECT parent_id, outer_no, {_text("name")}, {_text("currency")}, CAST(json_extract(x, '$.hidden') AS BOOLEAN) AS hidden FROM e WHERE json_type(x) = 'OBJECT'"""
+_P5_RESULTS = f"""{_P5_BODY}e AS (SELECT DISTINCT k AS parent_id, o AS outer_no, r AS x FROM x)
+SELECT parent_id, outer_no, json_extract_string(x, '$.Emiten.Code') AS emiten, array_to_string(CAST(json_extract(x, '$.Emiten.Boards') AS VARCHAR[]), '|') AS boards FROM e WHERE json_type(x) = 'OBJECT'"""
+# the supertype's members in its types, null or absent, and no others but null or empty ones
+_P5_VARIANT_ATTACHMENTS = f"""{_ATTACHMENT}, m AS (SELECT *, CAST(json_keys(x) AS VARCHAR[]) AS keys FROM e WHERE json_type(x) = 'OBJECT'),
+c AS (SELECT parent_id, outer_no, inner_no, unnest(keys) AS key, x FROM m),
+away AS (SELECT DISTINCT parent_id, outer_no, inner_no FROM (SELECT *, json_type(json_extract(x, '$.' || key)) AS t, json_extract(x, '$.' || key) AS v FROM c)
+  WHERE t <> 'NULL' AND NOT coalesce(CASE WHEN key IN {_TEXTS} THEN t = 'VARCHAR' WHEN key = 'File_Size' THEN t IN ('BIGINT', 'UBIGINT', 'DOUBLE') ELSE CAST(v AS VARCHAR) IN ('[]', '{{}}') END, false))
+SELECT parent_id, outer_no, inner_no, {', '.join(map(_text, _TEXTS))}, CAST(json_extract(x, '$.File_Size') AS DOUBLE) AS "File_Size" FROM m ANTI JOIN away USING (parent_id, outer_no, inner_no)"""
+_VALUES = f"""{_ITEM}, v AS (SELECT parent_id, outer_no, inner_no, x, json_extract(x, '$.values') AS h FROM e WHERE json_type(x) = 'OBJECT'),
+n AS (SELECT *, unnest(json_keys(h)) AS name FROM v WHERE json_type(h) = 'OBJECT'),
+w AS (SELECT parent_id, outer_no, inner_no, x, name, json_extract(h, '/' || replace(replace(name, '~', '~0'), '/', '~1')) AS y FROM n) """
+_P5_VALUES = f"""{_VALUES}SELECT parent_id, outer_no, inner_no, name, CASE json_type(y) WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'bool' WHEN 'VARCHAR' THEN 'str' ELSE 'num' END AS type,
+  CASE WHEN json_type(y) <> 'NULL' THEN json_extract_string(y, '$') END AS text, CASE WHEN json_type(y) IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(y AS DOUBLE) END AS number, CASE WHEN json_type(y) = 'BOOLEAN' THEN CAST(y AS BOOLEAN) END AS flag FROM w"""
+_P5_VARIANT_ITEMS = f"""{_VALUES}, k AS (SELECT parent_id, outer_no, inner_no, unnest(json_keys(x)) AS key, x FROM v),
+away AS (SELECT parent_id, outer_no, inner_no FROM w WHERE json_type(y) NOT IN ('NULL', 'BIGINT', 'UBIGINT', 'DOUBLE')
+  UNION SELECT parent_id, outer_no, inner_no FROM k WHERE json_type(json_extract(x, '$.' || key)) <> CASE key WHEN 'label' THEN 'VARCHAR' WHEN 'values' THEN 'OBJECT' ELSE '' END AND json_type(json_extract(x, '$.' || key)) <> 'NULL' AND CAST(json_extract(x, '$.' || key) AS VARCHAR) NOT IN (CASE WHEN key IN ('label', 'values') THEN '' ELSE '[]' END, CASE WHEN key IN ('label', 'values') THEN '' ELSE '{{}}' END))
+SELECT parent_id, outer_no, inner_no, json_extract_string(x, '$.label') AS label, name, CAST(y AS DOUBLE) AS number FROM w ANTI JOIN away USING (parent_id, outer_no, inner_no) WHERE json_type(y) <> 'NULL'"""
+_P5_UNREADABLE = f"""WITH b AS (SELECT 'response' AS src, response_id AS parent_id, body FROM report_responses UNION SELECT 'statement', file_id, body FROM statement_files),
+u AS (SELECT src, parent_id, body, {_unwrapped("body")} AS v FROM b)
+SELECT DISTINCT src, parent_id, CASE WHEN body IS NULL THEN 'null' WHEN trim(body, chr(65279) || chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN 'empty' WHEN v IS NULL THEN 'no complete JSON' ELSE 'no object' END AS reason FROM u WHERE v IS NULL OR json_type(v) <> 'OBJECT'"""
+_P1_UNREADABLE = "SELECT file_id, max(CASE WHEN feed_id IS NULL THEN 'no feed' ELSE 'no statement' END) AS reason FROM statement_files GROUP BY file_id HAVING count(CASE WHEN feed_id IS NOT NULL AND coalesce(json_valid(ltrim(body, chr(65279))), false) AND json_type(ltrim(body, chr(65279))) = 'OBJECT' THEN 1 END) = 0"
+_P4_CELLS = _P4[: _P4.index("v AS (SELECT")].replace("WITH r AS (SELECT ticker, period,", "WITH r AS (SELECT ticker, period, loaded_at, cover_id,") + _P4[_P4.index("v AS (SELECT") : _P4.rindex("SELECT ticker")].replace("v AS (SELECT ticker, period,", "v AS (SELECT ticker, period, loaded_at, cover_id,", 1).replace("+ 0.0 AS VARCHAR) END END AS v", "+ 0.0 AS VARCHAR) END END AS v, t") + "SELECT ticker, period, concept, CASE WHEN t <> 'double' THEN v END AS value, CASE WHEN t = 'double' THEN CAST(v AS DOUBLE) END AS number FROM v WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, period, concept ORDER BY loaded_at DESC, cover_id DESC, v DESC) = 1"
+
+SQL: dict[str, str] = {
+    "p1_unreadable": _P1_UNREADABLE, "p2_found": _P2, "p4_found": _P4, "p4_cells": _P4_CELLS, "p5_found": _P5, "p5_attachments": _P5_ATTACHMENTS, "p5_items": _P5_ITEMS, "p5_sheets": _P5_SHEETS, "p5_results": _P5_RESULTS,
+    "p5_values": _P5_VALUES, "p5_variant_attachments": _P5_VARIANT_ATTACHMENTS, "p5_variant_items": _P5_VARIANT_ITEMS, "p5_unreadable": _P5_UNREADABLE,
+}

@@ -5,10 +5,10 @@ from collections import Counter
 
 import pytest
 
-from ledgerloom.plans import filings, general, general_sql
+from ledgerloom.plans import decoders, filings, general, general_sql
 
-SQL = {**general_sql.SQL, **filings.SQL}
-QUERIES = {**general.QUERIES, **filings.QUERIES}
+SQL = {**general_sql.SQL, **filings.SQL, **decoders.SQL}
+QUERIES = {**general.QUERIES, **filings.QUERIES, **decoders.QUERIES}
 
 
 def normal(v):
