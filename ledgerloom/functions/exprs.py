@@ -132,10 +132,11 @@ def cache_path(ticker: Column, year: Column, period: Column, file: Column) -> Co
     return F.concat_ws("/", F.lit("data"), ticker, year.cast("string"), period, F.substring_index(file, "/", -1))
 
 
-def backoff_seconds(attempt: int) -> float:
+def backoff_seconds(attempt: Column) -> Column:
     """Delay before the next try after attempt 0, 1, ..."""
-    return float(2**attempt)
+    return F.pow(F.lit(2.0), attempt)
 
 
-RETRYABLE = frozenset({429, 500, 502, 503, 504})
+# Answers that are tried again, and how often at most.
+RETRYABLE = (429, 500, 502, 503, 504)
 ATTEMPTS = 3

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.exprs import PRIORITY, detect_format, parse_number_xlsx, trim_space
+from ledgerloom.functions.exprs import ATTEMPTS, PRIORITY, RETRYABLE, backoff_seconds, detect_format, parse_number_xlsx, trim_space
 
 
 def resolve_inputs(paths: DataFrame, path: str = "path", root: str = "data") -> DataFrame:
@@ -57,6 +57,34 @@ def fetch_summary(downloads: DataFrame, by: tuple[str, ...], order: str = "pos")
     return downloads.groupBy(*by).agg(names(F.col("error").isNull()).alias("downloaded"), names(F.col("error").isNotNull()).alias("failed"))
 
 
+def listing(attachments: DataFrame, wanted: str = "", most: int = 1000) -> DataFrame:
+    """The catalog table of attachments of a type: the first ``most`` of each company by
+    ``pos``, where the portal tells its order, else by year, period, name and path."""
+    rows = filter_type(attachments, wanted, "File_Type")
+    order = ("pos",) if "pos" in rows.columns else ("Report_Year", "Report_Period", "File_Name", "File_Path")
+    cols = {"TICKER": "Emiten_Code", "FILENAME": "File_Name", "TYPE": "File_Type", "SIZE": "File_Size", "PERIOD": "Report_Period", "YEAR": "Report_Year"}
+    return with_ordinal(rows, ("Emiten_Code",), order, "_at").where(F.col("_at") < most).orderBy("Emiten_Code", "_at").select(*[F.col(c).alias(n) for n, c in cols.items()])
+
+
+def retry_outcomes(answers: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """What retrying makes of the answers (``attempt`` from 0, ``status``) of each
+    request: ``status`` of the last attempt made, ``attempts`` made and ``waited``
+    seconds. Only answers that may pass are tried again, at most ``ATTEMPTS`` times, with
+    a doubling delay before each further try."""
+    again = F.col("status").isin(*RETRYABLE)
+    made = answers.where((F.col("attempt") >= 0) & (F.col("attempt") < ATTEMPTS)).groupBy(*by).agg(F.min(F.when(~again, F.col("attempt"))).alias("_end"), F.max("attempt").alias("_last"), F.collect_list(F.struct("attempt", "status")).alias("_all"))
+    stop = F.coalesce("_end", "_last")
+    status = F.filter("_all", lambda x: x["attempt"] == stop)[0]["status"]
+    waited = F.aggregate(F.sequence(F.lit(0), stop), F.lit(0.0), lambda acc, k: acc + F.when(k < stop, backoff_seconds(k)).otherwise(0.0))
+    return made.select(*by, status.alias("status"), (stop + 1).alias("attempts"), waited.alias("waited"))
+
+
+def attachments_of(tickers: DataFrame, attachments: DataFrame, code: str = "emiten_code") -> DataFrame:
+    """The attachments of each ticker (``pos``, ``ticker``), by ticker in any case and
+    without outer blanks; tickers without any give none."""
+    return tickers.join(attachments.withColumn("ticker", F.upper(F.trim(code))), "ticker")
+
+
 def items_from_cells(cells: DataFrame, sheet: tuple[str, ...] = ("file", "sheet_idx")) -> DataFrame:
     """Spreadsheet cells (sheet keys, ``row_idx``, ``col_idx``, ``text``) to items: one row
     per labelled row with ``label`` and ``values`` (map of header to number).

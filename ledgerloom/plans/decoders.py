@@ -72,7 +72,7 @@ i AS (SELECT *, json_extract(x, '$.values') AS v FROM y WHERE json_type(x) = 'OB
 w AS (SELECT k, sheet_idx, name, j, 0 AS c, json_extract(x, '$.label') AS t FROM i UNION ALL
   SELECT k, sheet_idx, name, j, c, json_extract(v, '/' || replace(replace(keys[c], '~', '~0'), '/', '~1')) FROM (SELECT *, unnest(range(1, len(keys) + 1)) AS c FROM (SELECT *, json_keys(v) AS keys FROM i WHERE json_type(v) = 'OBJECT')))
 SELECT k AS file_id, sheet_idx, {_XML.format("name")} AS sheet_name, CAST(j AS INTEGER) AS row_idx, CAST(c AS INTEGER) AS col_idx,
-  CASE json_type(t) WHEN 'VARCHAR' THEN {_XML.format("json_extract_string(t, '$')")} WHEN 'BOOLEAN' THEN upper(CAST(t AS VARCHAR)) ELSE regexp_replace(CAST(t AS VARCHAR), '\\.0$', '') END AS text
+  CASE json_type(t) WHEN 'VARCHAR' THEN {_XML.format("json_extract_string(t, '$')")} WHEN 'BOOLEAN' THEN upper(CAST(t AS VARCHAR)) ELSE regexp_replace(regexp_replace(CAST(t AS VARCHAR), '\\.0$', ''), '^-0$', '0') END AS text
 FROM w WHERE json_type(t) IN ('VARCHAR', 'BOOLEAN', 'BIGINT', 'UBIGINT', 'DOUBLE') AND (c > 0 OR json_type(t) = 'VARCHAR')""")
 def ref_xlsx_cells(spark: SparkSession, d: str) -> DataFrame:
     """Statements as workbooks: every cell, with its sheet and place."""

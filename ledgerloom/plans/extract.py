@@ -7,6 +7,7 @@ Results are rows (path, format, result); ``result`` is the document as JSON, and
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,24 +16,27 @@ from ledgerloom.operators import filings, kv, layout
 from ledgerloom.sources import files
 
 _MODE_ERROR = "this format needs the presentation mode"
+_NO_FILE = "no file of a known format"
 
 
 def cached_files(spark: SparkSession, home: str, arg: str, year: int = 0, period: str = "") -> DataFrame:
-    """(path, format, ticker, year, period) of a file, or of a ticker's files in the cache
-    home/data/ticker/year/period; year 0 and period '' mean any. Only names are read."""
-    if "." in arg or "/" in arg:
-        pattern, root = arg, None
-    else:
-        root = f"{home}/data/{arg.upper()}/{year or '*'}/{period or '*'}"
-        pattern = f"{root}/*"
-    found = spark.read.format("binaryFile").load(pattern).select("path")
-    inputs = filings.resolve_inputs(found)
-    return inputs if root else inputs.select("path", "format", F.lit("").alias("ticker"), F.lit(0).alias("year"), F.lit("").alias("period"))
+    """(path, format, ticker, year, period) of a file, or of the files of one or more
+    tickers (a comma list) in the cache home/data/ticker/year/period; year 0 and period
+    '' mean any. Only names are read; no file at all is an error."""
+    path = "." in arg or "/" in arg
+    pattern = arg if path else f"{home}/data/{{{arg.upper()}}}/{year or '*'}/{period or '*'}/*"
+    inputs = filings.resolve_inputs(spark.read.format("binaryFile").load(pattern).select("path"))
+    return inputs.select("path", "format", F.lit("").alias("ticker"), F.lit(0).alias("year"), F.lit("").alias("period")) if path else inputs
 
 
-def _meta(format_is_xlsx: bool, ticker: str, year: int, period: str) -> list[Column]:
-    m = filename_meta(F.col("path"), format_is_xlsx)
-    return [or_fallback(m["ticker"], F.lit(ticker), "").alias("ticker"), or_fallback(m["year"], F.lit(year), 0).alias("year"), or_fallback(m["period"], F.lit(period), "").alias("period")]
+def _given(rows: DataFrame, given: DataFrame | None, xlsx: bool) -> DataFrame:
+    """Rows by path with ``ticker``, ``year`` and ``period`` of the file's name, else as
+    ``given`` for the path."""
+    m = filename_meta(F.col("path"), xlsx)
+    if given is None:
+        return rows.select("*", m["ticker"].alias("ticker"), m["year"].alias("year"), m["period"].alias("period"))
+    known = rows.join(given.select("path", *[F.col(c).alias(f"_{c}") for c in ("ticker", "year", "period")]), "path", "left")
+    return known.select(*rows.columns, *[or_fallback(m[c], F.coalesce(f"_{c}", F.lit(unset)), unset).alias(c) for c, unset in (("ticker", ""), ("year", 0), ("period", ""))])
 
 
 def _json(*fields: Column) -> Column:
@@ -45,20 +49,21 @@ def _ordered(order: str, *fields: str) -> Column:
     return F.transform(rows, lambda x: F.struct(*[x[f].alias(f) for f in fields]))
 
 
-def statements(cells: DataFrame, ticker: str = "", year: int = 0, period: str = "") -> DataFrame:
-    """(path, result) of spreadsheet cells: the sheets that have items, with them."""
+def statements(cells: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """(path, result) of spreadsheet cells: the sheets that have items, with them.
+    ``given`` (path, ticker, year, period) fills what file names don't tell."""
     names = cells.where("error is null").groupBy("path", "sheet_idx").agg(F.first("sheet_name").alias("name"))
     items = filings.items_from_cells(cells.where("error is null"), ("path", "sheet_idx"))
     sheets = items.groupBy("path", "sheet_idx").agg(_ordered("row_idx", "label", "values").alias("items")).join(names, ["path", "sheet_idx"])
     books = cells.where("error is null").select("path").distinct().join(sheets.groupBy("path").agg(_ordered("sheet_idx", "name", "items").alias("sheets")), "path", "left")
-    return books.select("path", *_meta(True, ticker, year, period), "sheets").select("path", _json(*map(F.col, ("ticker", "year", "period", "sheets"))).alias("result"))
+    return _given(books, given, True).select("path", _json(*map(F.col, ("ticker", "year", "period", "sheets"))).alias("result"))
 
 
-def fact_statements(facts: DataFrame, ticker: str = "", year: int = 0, period: str = "") -> DataFrame:
+def fact_statements(facts: DataFrame, given: DataFrame | None = None) -> DataFrame:
     """(path, result) of tagged facts, in the archive's order."""
     fields = ("concept", "value", "unit", "period", "decimals")
     grouped = facts.where("concept is not null").groupBy("path").agg(_ordered("seq", *fields).alias("facts"))
-    return grouped.select("path", *_meta(False, ticker, year, period), "facts").select("path", _json(*map(F.col, ("ticker", "year", "period", "facts"))).alias("result"))
+    return _given(grouped, given, False).select("path", _json(*map(F.col, ("ticker", "year", "period", "facts"))).alias("result"))
 
 
 def presentations(elements: DataFrame) -> DataFrame:
@@ -71,27 +76,31 @@ def presentations(elements: DataFrame) -> DataFrame:
     return elements.where("error is null").select("path").distinct().join(listed, "path", "left").select("path", F.to_json(F.coalesce("pairs", empty)).alias("result"))
 
 
-def _results(spark: SparkSession, inputs: DataFrame, mode: str, ticker: str, year: int, period: str, fail_fast: bool) -> DataFrame:
-    content = spark.read.format("binaryFile")
-    policy, out = "failfast" if fail_fast else "permissive", None
-    chosen = {f: [r["path"] for r in inputs.where(F.col("format") == f).select("path").collect()] for f in ("xlsx", "xbrl", "pdf")}  # one company's files
-    for fmt, paths in chosen.items():
+def _results(spark: SparkSession, inputs: DataFrame, mode: str, fail_fast: bool) -> DataFrame:
+    """One plan for all inputs (path, format, and what is given for each). The paths come
+    to the driver once: a listing that its file index holds anyway, so that no other
+    file is opened."""
+    chosen = [tuple(r) for r in inputs.select("path", "format", "ticker", "year", "period").collect()]
+    given = spark.createDataFrame(chosen, "path string, format string, ticker string, year int, period string")
+    content, policy, out = spark.read.format("binaryFile"), "failfast" if fail_fast else "permissive", None
+    for fmt in ("xlsx", "xbrl", "pdf"):
+        paths = [p for p, f, *_ in chosen if f == fmt]
         if not paths:
             continue
         if fmt == "pdf" and mode != "presentation":
             if fail_fast:
                 raise ValueError(f"{paths[0]}: {_MODE_ERROR}")
-            part = inputs.where(F.col("format") == fmt).select("path", F.lit(None).cast("string").alias("result"), F.lit(_MODE_ERROR).alias("error"))
+            part = given.where(F.col("format") == fmt).select("path", F.lit(None).cast("string").alias("result"), F.lit(_MODE_ERROR).alias("error"))
         else:
             rows = files.decode(content.load(paths), fmt, policy)
-            made = presentations(rows) if fmt == "pdf" else (statements if fmt == "xlsx" else fact_statements)(rows, ticker, year, period)
+            made = presentations(rows) if fmt == "pdf" else (statements if fmt == "xlsx" else fact_statements)(rows, given)
             # an archive's entries may fail alone; a file has an error if nothing came of it
             failed = rows.groupBy("path").agg(F.min("error").alias("error"))
             part = failed.join(made, "path", "left").select("path", "result", F.when(F.col("result").isNull(), F.col("error")).alias("error"))
         part = part.withColumn("format", F.lit(fmt))
         out = part if out is None else out.unionByName(part)
     if out is None:
-        raise ValueError("no file of a known format")
+        raise ValueError(_NO_FILE)
     return out.select("path", "format", "result", "error")
 
 
@@ -100,32 +109,27 @@ def extract(spark: SparkSession, arg: str, home: str = ".", year: int = 0, perio
     the period FY means Audit."""
     period = "Audit" if period.upper() == "FY" else period
     inputs = cached_files(spark, home, arg, year, period)
-    given = "" if "." in arg or "/" in arg else arg.upper()
-    return _results(spark, inputs, mode, given, year if given else 0, period if given else "", fail_fast)
+    if "." not in arg and "/" not in arg:
+        inputs = inputs.select("path", "format", F.lit(arg.upper()).alias("ticker"), F.lit(year).alias("year"), F.lit(period).alias("period"))
+    return _results(spark, inputs, mode, fail_fast)
 
 
 def analyze(spark: SparkSession, tickers: str, home: str = ".", year: int = 0, period: str = "") -> DataFrame:
-    """The best file of each ticker of a comma list, with ``ticker``; a ticker that fails
-    has its error and the others their results."""
+    """The best file of each ticker of a comma list, in the list's order, with ``ticker``;
+    a ticker without a file, or whose file fails, has its error and the others their
+    results. One plan for all tickers."""
     period = "Audit" if period.upper() == "FY" else period
-    out = None
-    for t in tickers.upper().split(","):
-        try:
-            inputs = cached_files(spark, home, t, year, period)
-            best = filings.best_format(inputs.select(F.lit(t).alias("t"), "path", "format"), ("t",))
-            got = _results(spark, best, "presentation", t, year, period, False).withColumn("ticker", F.lit(t))
-        except Exception as e:
-            got = spark.createDataFrame([(None, None, None, str(e).split("\n")[0], t)], "path string, format string, result string, error string, ticker string")
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-def listing(attachments: DataFrame, wanted: str = "", most: int = 1000) -> DataFrame:
-    """The catalog table of attachments: the first ``most`` of each company, of a type."""
-    rows = filings.filter_type(attachments, wanted, "File_Type")
-    if "pos" not in rows.columns:
-        rows = filings.with_ordinal(rows, ("Emiten_Code",), ("Report_Year", "Report_Period", "File_Name", "File_Path"))
-    cols = {"TICKER": "Emiten_Code", "FILENAME": "File_Name", "TYPE": "File_Type", "SIZE": "File_Size", "PERIOD": "Report_Period", "YEAR": "Report_Year"}
-    return rows.where(F.col("pos") < most).orderBy("Emiten_Code", "pos").select(*[F.col(c).alias(n) for n, c in cols.items()])
-
-
+    wanted = spark.createDataFrame(list(enumerate(tickers.upper().split(","))), "pos int, ticker string")
+    try:
+        best = filings.best_format(cached_files(spark, home, tickers, year, period).select("ticker", "path", "format"), ("ticker",))
+        given = best.select("path", "format", "ticker", F.lit(year).alias("year"), F.lit(period).alias("period"))
+        got = _results(spark, given, "presentation", False).join(best.select("ticker", "path"), "path")
+    except (AnalysisException, ValueError) as e:
+        if isinstance(e, AnalysisException) and e.getCondition() != "PATH_NOT_FOUND" or isinstance(e, ValueError) and str(e) != _NO_FILE:
+            raise
+        got = spark.createDataFrame([], "path string, format string, result string, error string, ticker string")
+    rows = wanted.join(got, "ticker", "left").withColumn("error", F.when(F.col("path").isNull(), F.lit(_NO_FILE)).otherwise(F.col("error")))
+    return rows.orderBy("pos").select("path", "format", "result", "error", "ticker")
+
+
+listing = filings.listing

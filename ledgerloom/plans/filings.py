@@ -347,3 +347,35 @@ def ref_count_facts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "facts").groupBy("filing_id").agg(F.count_distinct("fact_id").alias("n_facts"))
 
 
+@query("SELECT DISTINCT attachment_id, file_name, regexp_matches(coalesce(file_name, ''), '[./]') AS is_path FROM catalog")
+def ref_input_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "catalog").select("attachment_id", "file_name", exprs.is_path(F.coalesce("file_name", F.lit(""))).alias("is_path")).distinct()
+
+
+@query(
+    "WITH a AS (SELECT DISTINCT attachment_id, k AS attempt, [200, 429, 500, 404, 503, 504, 502][1 + (attachment_id * (k + 2)) % 7] AS status FROM catalog, range(5) AS t(k)), "
+    "l AS (SELECT * FROM a WHERE attempt < 3), e AS (SELECT attachment_id, coalesce(min(attempt) FILTER (WHERE status NOT IN (429, 500, 502, 503, 504)), 2) AS stop FROM l GROUP BY attachment_id) "
+    "SELECT e.attachment_id, l.status, CAST(stop + 1 AS INTEGER) AS attempts, CAST([0, 1, 3][CAST(stop AS INTEGER) + 1] AS DOUBLE) AS waited FROM e JOIN l ON l.attachment_id = e.attachment_id AND l.attempt = e.stop"
+)
+def ref_retries(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "catalog").select("attachment_id").distinct()
+    answers = ids.select("attachment_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("attempt"))
+    status = F.element_at(F.array(*map(F.lit, (200, 429, 500, 404, 503, 504, 502))), ((F.col("attachment_id") * (F.col("attempt") + 2)) % 7 + 1).cast("int"))
+    return filings.retry_outcomes(answers.withColumn("status", status), ("attachment_id",))
+
+
+@query("SELECT DISTINCT t.ticker, c.attachment_id, c.file_name FROM (SELECT DISTINCT ticker FROM registry_snapshots WHERE ticker IS NOT NULL) t JOIN catalog c ON upper(trim(c.emiten_code)) = t.ticker")
+def ref_ticker_attachments(spark: SparkSession, d: str) -> DataFrame:
+    tickers = table(spark, d, "registry_snapshots").where("ticker is not null").select("ticker").distinct()
+    return filings.attachments_of(tickers, table(spark, d, "catalog")).select("ticker", "attachment_id", "file_name").distinct()
+
+
+@query(
+    "WITH a AS (SELECT DISTINCT attachment_id, emiten_code, file_name, file_type, file_size, report_period, report_year FROM catalog WHERE lower(file_type) = '.xlsx'), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY emiten_code ORDER BY attachment_id) AS k FROM a) "
+    'SELECT emiten_code AS "TICKER", file_name AS "FILENAME", file_type AS "TYPE", file_size AS "SIZE", report_period AS "PERIOD", report_year AS "YEAR" FROM n WHERE k <= 5'
+)
+def ref_catalog_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The first attachments of each company, in the portal's order, of a type."""
+    rows = table(spark, d, "catalog").select("attachment_id", F.col("emiten_code").alias("Emiten_Code"), F.col("file_name").alias("File_Name"), F.col("file_type").alias("File_Type"), F.col("file_size").alias("File_Size"), F.col("report_period").alias("Report_Period"), F.col("report_year").alias("Report_Year")).distinct()
+    return filings.listing(rows.withColumn("pos", F.col("attachment_id")), ".xlsx", 5)
