@@ -34,6 +34,11 @@ def union_bounds(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(*by).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
+def region_bounds(lines: DataFrame, page: tuple[str, ...] = ("page",)) -> DataFrame:
+    """The bounds of each region of analyzed lines."""
+    return union_bounds(lines, (*page, "region"))
+
+
 def average_width(elements: DataFrame, by: tuple[str, ...], fallback: str | None = None) -> DataFrame:
     """Mean character width over non-empty texts; without characters, half the ``fallback`` size."""
     full = F.when(F.col("text") != "", F.col("x2") - F.col("x1"))

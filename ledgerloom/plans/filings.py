@@ -219,11 +219,24 @@ def ref_regions(spark: SparkSession, d: str) -> DataFrame:
     return layout.regions(event_lines(spark, d).withColumnRenamed("x_region", "x1")).select("page", "line_idx", "region")
 
 
-@query()
+_PAGE_LINES = f"""{_TEXTS},
+texts AS (SELECT page, line_idx AS old, string_agg(CASE WHEN gap IS NULL THEN '' WHEN gap >= 3.0 * w THEN chr(9) WHEN gap > 0.3 * w THEN ' ' ELSE '' END || text, '' ORDER BY x1, seq) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, CAST(count(*) AS INTEGER) AS n_elements FROM gaps GROUP BY page, line_idx),
+fonts AS (SELECT page, line_idx AS old, font_name, font_size FROM (SELECT page, line_idx, font_name, font_size, row_number() OVER (PARTITION BY page, line_idx ORDER BY count(*) DESC, font_size DESC, font_name) AS k FROM clustered GROUP BY page, line_idx, font_name, font_size) WHERE k = 1),
+numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY page ORDER BY y1 DESC, old) - 1 AS INTEGER) AS line_idx FROM texts JOIN fonts USING (page, old)),
+marked AS (SELECT *, CASE WHEN lag(font_name) OVER w IS NULL OR (abs(x1 - lag(x1) OVER w) < 5 AND font_name = lag(font_name) OVER w AND font_size = lag(font_size) OVER w) THEN 0 ELSE 1 END AS fresh FROM numbered WINDOW w AS (PARTITION BY page ORDER BY line_idx)),
+analyzed AS (SELECT page, line_idx, text, x1, y1, x2, y2, n_elements, font_name, font_size, CAST(sum(fresh) OVER (PARTITION BY page ORDER BY line_idx ROWS UNBOUNDED PRECEDING) AS INTEGER) AS region FROM marked)"""
+
+
+@query(f"{_PAGE_LINES} SELECT * FROM analyzed")
 def ref_analyze_pages(spark: SparkSession, d: str) -> DataFrame:
     return layout.analyze_pages(elements(spark, d))
 
 
+@query(f"{_PAGE_LINES} SELECT page, region, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM analyzed GROUP BY page, region")
+def ref_region_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return layout.region_bounds(layout.analyze_pages(elements(spark, d)))
+
+
 # --- key-value pairs ---------------------------------------------------------------------
 
 _KEY = _trim("substr(text, 1, strpos(text, ':') - 1)")

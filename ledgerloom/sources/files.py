@@ -1,10 +1,10 @@
 """Filing documents as tables.
 
-``binaryFile`` finds and prunes the files; decoding runs on Arrow batches where the
-file is, one row of output at a time, and a file that can't be read gives a row in
+``binaryFile`` finds and prunes the files on any storage Spark knows; decoding runs on
+Arrow batches, a whole file at a time, and a file that can't be read gives a row in
 ``error`` (``mode="permissive"``) or ends the job (``"failfast"``). The same decoders
-are Python data sources: ``register(spark)``, then
-``spark.read.format("ledgerloom_xlsx").load(path)``.
+are Python data sources, for folders that all executors see under one path:
+``register(spark)``, then ``spark.read.format("ledgerloom_xlsx").load(path)``.
 """
 
 from __future__ import annotations
@@ -99,9 +99,13 @@ def with_meta(rows: DataFrame, xlsx_names: bool = True, ticker: str = "", year:
     return rows.withColumns({f"meta_{k}": or_fallback(m[k], F.lit(v), unset) for k, v, unset in (("ticker", ticker, ""), ("year", year, 0), ("period", period, ""))})
 
 
-class _One(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+#: Bytes of files that a partition of a data source reads together.
+PARTITION_BYTES = 64_000_000
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
@@ -109,23 +113,31 @@ class _Reader(DataSourceReader):
         self.kind, self.path, self.mode = kind, options.get("path", ""), options.get("mode", "permissive")
 
     def partitions(self) -> list[InputPartition]:
-        """One partition a file."""
+        """Files in order, small ones packed together."""
         found = sorted(p for g in glob.glob(self.path) for p in ([os.path.join(d, f) for d, _, fs in os.walk(g) for f in fs] if os.path.isdir(g) else [g]))
-        return [_One(p) for p in found]
-
-    def read(self, partition: _One) -> Iterator[tuple]:
-        if partition is None or not hasattr(partition, "path"):
-            return
+        out: list[list[str]] = []
+        room = 0
+        for p in found:
+            size = os.path.getsize(p)
+            if not out or size > room:
+                out.append([])
+                room = PARTITION_BYTES
+            out[-1].append(p)
+            room -= size
+        return [_Files(p) for p in out]
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
         decoder, schema = DECODERS[self.kind]
         width = schema.count(",") + 1
-        try:
-            with open(partition.path, "rb") as f:
-                rows = [(partition.path, *r, None) if len(r) == width else (partition.path, *r) for r in decoder(f.read())]
-        except Exception as e:
-            if self.mode == "failfast":
-                raise
-            rows = [(partition.path, *[None] * width, str(e) or type(e).__name__)]
-        yield from rows
+        for path in getattr(partition, "paths", ()):
+            try:
+                with open(path, "rb") as f:
+                    rows = [(path, *r, None) if len(r) == width else (path, *r) for r in decoder(f.read())]
+            except Exception as e:
+                if self.mode == "failfast":
+                    raise
+                rows = [(path, *[None] * width, str(e) or type(e).__name__)]
+            yield from rows
 
 
 def _source(kind: str) -> type[DataSource]:

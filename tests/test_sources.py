@@ -195,6 +195,16 @@ def test_data_sources_and_layout(spark, tmp_path):
     assert files.scan(spark, str(tmp_path), "pdf_meta").first()["pages"] == 1
 
 
+def test_small_files_share_a_partition(tmp_path, monkeypatch):
+    for k in range(10):
+        (tmp_path / f"{k}.zip").write_bytes(b"x" * 100)
+    reader = files._Reader("xbrl", {"path": str(tmp_path)})
+    assert [len(p.paths) for p in reader.partitions()] == [10]
+    monkeypatch.setattr(files, "PARTITION_BYTES", 250)
+    assert [len(p.paths) for p in reader.partitions()] == [2] * 5
+    assert sum(len(list(reader.read(p))) for p in reader.partitions()) == 10
+
+
 def test_fail_fast(spark, tmp_path):
     (tmp_path / "bad.zip").write_bytes(b"junk")
     assert files.scan(spark, str(tmp_path), "xbrl").first()["error"]
