@@ -70,9 +70,20 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_corpus(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_mapped, p6_unmatched, p7_ids, p7_words, p7_decoded, p8_found, p8_evidence, p8_templates, p9_found, p9_pieces)}
+def p9_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Texts put together again from their pieces' fresh parts, with the largest piece's
+    tokens: what the splitter must keep."""
+    pieces = p9_pieces(spark, d)
+    fresh = F.expr("substring(text, char_fresh - char_start + 1)")
+    rows = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", fresh.alias("t")))).alias("p"), F.max("n_tokens").alias("most"), F.max("n_pieces").alias("n"))
+    return rows.select("doc_id", F.array_join(F.transform("p", lambda x: x["t"]), "").alias("text"), (F.col("most") <= split.LIMIT).alias("within_limit"), (F.size("p") == F.col("n")).alias("complete"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_mapped, p6_unmatched, p7_ids, p7_words, p7_decoded, p8_found, p8_evidence, p8_templates, p9_found, p9_pieces, p9_joined)}
 
 ORACLE: dict[str, str] = {
     # a document's text comes back from its ids; null texts as empty ones
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    # pieces without their overlaps are the text
+    "p9_joined": "SELECT doc_id, coalesce(text, '') AS text, true AS within_limit, true AS complete FROM documents",
 }

@@ -173,6 +173,26 @@ def test_slots_map_one_to_one_over_the_passage(spark):
     assert set(templates(spark, [(1, f"{copy} {filler} {copy.replace('Belmira', 'Dalgata')}"), (2, copy.replace("of Belmira agreed", "of new Belmira agreed"))], [(9, item)])) == {1, 2}
 
 
+def test_templates_find_items_with_other_values(spark, sf):
+    rng, items = random.Random(1), [(r["item_id"], r["text"]) for r in queries.table(spark, sf, "eval_items").collect()]
+    names, docs = leakage.ItemIndex(items).names, []
+    for k, text in items:
+        new: dict = {}
+        out = []
+        for token in leakage.canonical(text).split():
+            f = leakage.fold(token)
+            if f[:1].isdigit():
+                token = new.setdefault(f, str(rng.randint(100, 99_999)))
+            elif f in names:
+                token = new.setdefault(f, "".join(rng.choices("bdfgklmnprstvz", k=9)))
+            out.append(token)
+        if new:
+            docs.append((k, "before it " + " ".join(out) + " and after"))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.find_templates(d, i).collect()}
+    assert sum((k, k) in got for k, _ in docs) >= 0.95 * len(docs) > 100
+
+
 def test_found_holds_copies(spark, sf):
     got = {tuple(r) for r in queries.p8_found(spark, sf).collect()}
     texts = {r["doc_id"]: leakage.words(r["text"]) for r in queries.table(spark, sf, "documents").collect()}
