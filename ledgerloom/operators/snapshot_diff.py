@@ -51,17 +51,18 @@ def snapshot_changes(
     kid = (
         F.transform(
             F.coalesce(F.col(children), F.array()),
-            lambda p: F.struct(_text(p[child_key]).alias("k"), row_hash(*[p[f] for f in child_fields]).alias("h")),
+            # hash and key as one text: set operations on texts are hashed, on structs they compare all pairs
+            lambda p: F.when(_text(p[child_key]) != "", F.concat(row_hash(*[p[f] for f in child_fields]).cast("string"), F.lit(" "), _text(p[child_key]))),
         )
         if children
-        else F.array().cast("array<struct<k:string,h:bigint>>")
+        else F.array().cast("array<string>")
     )
     rows = df.where(F.col(snapshot).isNotNull()).select(
         F.col(snapshot).alias("_n"),
         F.col(key).alias("_k"),
         F.col(version).alias("_v"),
         row_hash(*[F.col(f) for f in fields]).alias("_h"),
-        F.array_sort(F.array_distinct(F.filter(kid, lambda p: p["k"] != ""))).alias("_kids"),
+        F.array_sort(F.array_distinct(F.filter(kid, lambda p: p.isNotNull()))).alias("_kids"),
     )
     # One row per snapshot: a tiny table, whose window needs no large partition.
     steps = (
@@ -88,8 +89,9 @@ def snapshot_changes(
         F.max(F.when(~F.col("_s.new"), F.col("_state"))).alias("o"),
         F.max(F.when(F.col("_s.new"), F.col("_state"))).alias("n"),
     )
-    keys = lambda side: F.array_distinct(F.transform(F.col(f"{side}._kids"), lambda p: p["k"]))
-    entries = lambda side, k: F.filter(F.col(f"{side}._kids"), lambda p: p["k"] == k)
+    keys = lambda kids: F.array_distinct(F.transform(kids, lambda p: F.regexp_replace(p, "^-?[0-9]+ ", "")))
+    only_n, only_o = keys(F.array_except("n._kids", "o._kids")), keys(F.array_except("o._kids", "n._kids"))
+    all_n, all_o = keys(F.col("n._kids")), keys(F.col("o._kids"))
     change = lambda k, what: F.struct(k.alias("c"), F.lit(what).alias("w"))
     own = (
         F.when(F.col("o").isNull(), F.array(change(F.lit(""), "added")))
@@ -100,12 +102,9 @@ def snapshot_changes(
     below = F.when(
         F.col("o").isNotNull() & F.col("n").isNotNull() & (F.col("o._kids") != F.col("n._kids")),
         F.concat(
-            F.transform(F.array_except(keys("n"), keys("o")), lambda k: change(k, "added")),
-            F.transform(F.array_except(keys("o"), keys("n")), lambda k: change(k, "removed")),
-            F.transform(
-                F.filter(F.array_intersect(keys("o"), keys("n")), lambda k: entries("o", k) != entries("n", k)),
-                lambda k: change(k, "changed"),
-            ),
+            F.transform(F.array_except(only_n, all_o), lambda k: change(k, "added")),
+            F.transform(F.array_except(only_o, all_n), lambda k: change(k, "removed")),
+            F.transform(F.array_intersect(F.array_union(only_n, only_o), F.array_intersect(all_o, all_n)), lambda k: change(k, "changed")),
         ),
     ).otherwise(F.array().cast("array<struct<c:string,w:string>>"))
     return sides.select(F.col("_step").alias(snapshot), F.col("_k").alias(key), F.explode(F.concat(own, below)).alias("_c")).select(

@@ -37,3 +37,10 @@ def test_nulls_and_empty(spark):
     assert run(spark, []) == []
     rows = [(1, None, "a", None, None, None), (2, None, "b", None, [(None, "t", None, None)], None), (None, "Z", "z", None, None, T[0])]
     assert run(spark, rows) == [(2, None, "", "changed")]
+
+
+def test_many_children(spark):
+    old = [(f"u {k}", f"t{k}", "Q1", 2020) for k in range(3000)]
+    new = [(f"u {k}", f"t{k + (k % 1000 == 0)}", "Q1", 2020) for k in range(1, 3002)] + [("u 5", "other", "Q1", 2020)]
+    rows = [(1, "A", "a", None, old, T[0]), (2, "A", "a", None, new, T[1])]
+    assert run(spark, rows) == sorted([(2, "A", "u 0", "removed"), (2, "A", "u 3000", "added"), (2, "A", "u 3001", "added"), (2, "A", "u 1000", "changed"), (2, "A", "u 2000", "changed"), (2, "A", "u 5", "changed")], key=str)
