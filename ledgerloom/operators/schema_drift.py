@@ -18,6 +18,7 @@ import hashlib
 import json
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -227,33 +228,51 @@ def migrations(prints: DataFrame) -> DataFrame:
     return back.select("file_id", "feed_id", "schema", "fingerprint").mapInArrow(run, f"file_id {kinds['file_id']}, names string, final string")
 
 
-def migrate(rows: list[dict], names: dict, final: dict[tuple[str, str], str | None]) -> list[dict]:
-    """Rows {sheet, field, value, ...} under their latest ``names``, cast to the
-    ``final`` types."""
-    out = []
-    for r in rows:
-        sheet, sheet_rules = names.get((r["sheet"], None), (r["sheet"], ()))
-        field, field_rules = names.get((r["sheet"], r["field"]), (r["field"], ()))
-        rules = [*sheet_rules, *field_rules]
-        kind, v = final.get((sheet, field)), r["value"]
-        number = text = flag = None
-        if isinstance(v, bool):
-            flag, text, number = v, str(v).lower(), float(v) if kind == "number" else None
-        elif isinstance(v, int | float):
-            number, text = float(v), json.dumps(v)
-        elif v is not None:
-            text = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-        if v is not None and kind and _type(v) != kind:
-            rules.append(f"cast {kind}")
-            if kind == "boolean" and text and text.casefold() in ("ya", "yes", "true", "y", "1", "tidak", "no", "false", "n", "0"):
-                flag = text.casefold() in ("ya", "yes", "true", "y", "1")
-            elif kind == "number" and number is None:
-                try:
-                    number = float(text.replace(",", ""))
-                except (ValueError, AttributeError):
-                    rules[-1] = "cast number: unreadable"
-        out.append(r | {"sheet": sheet, "field": field, "type": kind, "number": number, "text": text, "flag": flag, "rules": rules})
-    return out
+@lru_cache(maxsize=2_000)
+def _rules(names: str, final: str) -> tuple[dict, dict, dict]:
+    """(map of names, type of each final (sheet, field), fields of each final sheet)."""
+    types = {(s, f): t for s, fs in json.loads(final) for f, t in fs}
+    wanted: dict[str, list[str]] = {}
+    for s, f in types:
+        wanted.setdefault(s, []).append(f)
+    return {(s, f): (n, r) for s, f, n, r in json.loads(names)}, types, wanted
+
+
+def cast(v: object, kind: str | None) -> tuple[float | None, str | None, bool | None, str | None]:
+    """(number, text, flag, rule applied) of a value in a field of type ``kind``."""
+    number = text = flag = rule = None
+    if isinstance(v, bool):
+        flag, text, number = v, str(v).lower(), float(v) if kind == "number" else None
+    elif isinstance(v, int | float):
+        number, text = float(v), json.dumps(v)
+    elif v is not None:
+        text = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    if v is not None and kind and _type(v) != kind:
+        rule = f"cast {kind}"
+        if kind == "boolean" and text and text.casefold() in ("ya", "yes", "true", "y", "1", "tidak", "no", "false", "n", "0"):
+            flag = text.casefold() in ("ya", "yes", "true", "y", "1")
+        elif kind == "number" and number is None:
+            try:
+                number = float(text.replace(",", ""))
+            except (ValueError, AttributeError):
+                rule = "cast number: unreadable"
+    return number, text, flag, rule
+
+
+def migrate(sheet: str, values: dict, names: dict, types: dict, wanted: dict) -> Iterator[tuple]:
+    """(sheet, field, type, number, text, flag, rules) of an item's values under their
+    latest names and types, and of the fields it lacks."""
+    here, sheet_rules = names.get((sheet, None), (sheet, ()))
+    have = set()
+    for f, v in values.items():
+        field, rules = names.get((sheet, f), (f, ()))
+        kind = types.get((here, field))
+        number, text, flag, rule = cast(v, kind)
+        have.add(field)
+        yield here, field, kind, number, text, flag, (*sheet_rules, *rules, *((rule,) if rule else ()))
+    for field in wanted.get(here, ()):
+        if field not in have:
+            yield here, field, types[here, field], None, None, None, ("default",)
 
 
 def consistent_items(df: DataFrame, file_id: str = "file_id", feed: str = "feed_id", at: str = "delivered_at", body: str = "body") -> DataFrame:
@@ -279,28 +298,23 @@ def consistent_items(df: DataFrame, file_id: str = "file_id", feed: str = "feed_
 
     def batch(rows: list[tuple], b: pa.RecordBatch) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 11
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [b.schema.field(0).type, b.schema.field(1).type, *[t for _, t in fields]], strict=True)], ["file_id", "feed_id", *[n for n, _ in fields]])
+        known: dict[tuple, int] = {}  # few lists of rules are different
+        which = pa.array([known.setdefault(r, len(known)) for r in cols[-1]], pa.int32())
+        arrays = [pa.array(c, t) for c, t in zip(cols[:-1], [b.schema.field(0).type, b.schema.field(1).type, *[t for _, t in fields[:-1]]], strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(list(map(list, known)), fields[-1][1]).take(which)], ["file_id", "feed_id", *[n for n, _ in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for f, g, x, texts, final in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 statement = parse_statement(x)
-                names = {(s, fld): (n, tuple(r)) for s, fld, n, r in json.loads(texts)}
-                types = {(s, fld): t for s, fs in json.loads(final) for fld, t in fs}
-                wanted: dict[str, list[str]] = {}
-                for s, fld in types:
-                    wanted.setdefault(s, []).append(fld)
+                rules = _rules(texts, final)
                 for _, sheet in sheets_of(statement):
                     name = sheet.get("name") if isinstance(sheet.get("name"), str) else ""
-                    here = names.get((name, None), (name, ()))[0]
                     for n, item in items_of(sheet):
                         values = item.get("values") if isinstance(item.get("values"), dict) else {}
                         label = item.get("label") if isinstance(item.get("label"), str) else None
-                        done = migrate([{"sheet": name, "field": k, "value": v} for k, v in values.items()], names, types)
-                        have = {d["field"] for d in done}
-                        done += [{"sheet": here, "field": k, "type": types[here, k], "number": None, "text": None, "flag": None, "rules": ["default"]} for k in wanted.get(here, ()) if k not in have]
-                        rows += [(f, g, d["sheet"], n, label, d["field"], d["type"], d["number"], d["text"], d["flag"], d["rules"]) for d in done]
+                        rows += [(f, g, r[0], n, label, *r[1:]) for r in migrate(name, values, *rules)]
                 if len(rows) > 20_000:
                     yield batch(rows, b)
                     rows = []
