@@ -1,11 +1,8 @@
-"""Session settings and the shared checkpoint folder."""
+"""Session settings."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 #: Settings the engine wants everywhere. None of them fixes a size: partition
 #: counts are left to adaptive execution and to the cluster's own defaults.
@@ -24,27 +21,3 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
     if master:
         builder = builder.master(master)
     return builder.getOrCreate()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names in
-    ``spark.checkpoint.dir``; a folder of our own only where that is unset and
-    none was set before, as in local tests."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = os.path.join(tempfile.gettempdir(), "ledgerloom-checkpoints")
-    sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there. Files
-    there outlive any executor, unlike a local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
