@@ -1,4 +1,4 @@
-"""SQL for p2, p4 and p5, written independently of the operators."""
+"""SQL for p1, p2, p4 and p5, written independently of the operators."""
 
 from __future__ import annotations
 
@@ -108,7 +108,41 @@ SELECT DISTINCT src, parent_id, CASE WHEN body IS NULL THEN 'null' WHEN trim(bod
 _P1_UNREADABLE = "SELECT file_id, max(CASE WHEN feed_id IS NULL THEN 'no feed' ELSE 'no statement' END) AS reason FROM statement_files GROUP BY file_id HAVING count(CASE WHEN feed_id IS NOT NULL AND coalesce(json_valid(ltrim(body, chr(65279))), false) AND json_type(ltrim(body, chr(65279))) = 'OBJECT' THEN 1 END) = 0"
 _P4_CELLS = _P4[: _P4.index("v AS (SELECT")].replace("WITH r AS (SELECT ticker, period,", "WITH r AS (SELECT ticker, period, loaded_at, cover_id,") + _P4[_P4.index("v AS (SELECT") : _P4.rindex("SELECT ticker")].replace("v AS (SELECT ticker, period,", "v AS (SELECT ticker, period, loaded_at, cover_id,", 1).replace("+ 0.0 AS VARCHAR) END END AS v", "+ 0.0 AS VARCHAR) END END AS v, t") + "SELECT ticker, period, concept, CASE WHEN t <> 'double' THEN v END AS value, CASE WHEN t = 'double' THEN CAST(v AS DOUBLE) END AS number FROM v WHERE v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ticker, period, concept ORDER BY loaded_at DESC, cover_id DESC, v DESC) = 1"
 
+_P1 = f"""WITH f0 AS (SELECT DISTINCT file_id AS k, feed_id, delivered_at, CAST(ltrim(body, chr(65279)) AS JSON) AS b FROM statement_files WHERE feed_id IS NOT NULL AND coalesce(json_valid(ltrim(body, chr(65279))), false)),
+f AS (SELECT k, lag(k) OVER (PARTITION BY feed_id ORDER BY delivered_at, k) AS p, b FROM f0 WHERE json_type(b) = 'OBJECT'),
+g AS (SELECT k, {_SHEETS} AS l FROM f),
+h AS (SELECT k, i AS pos, json_extract(l, '$[' || i || ']') AS s FROM (SELECT k, l, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS i FROM g)),
+n AS (SELECT k, pos, CASE json_type(json_extract(s, '$.name')) WHEN 'VARCHAR' THEN json_extract_string(s, '$.name') ELSE '' END AS sheet, s FROM h WHERE json_type(s) = 'OBJECT'),
+sh AS (SELECT k, sheet, min(pos) AS pos FROM n GROUP BY k, sheet),
+z AS (SELECT k, pos, sheet, {_ITEMS} AS l FROM n),
+i AS (SELECT k, pos, sheet, j, json_extract(l, '$[' || j || ']') AS x FROM (SELECT *, unnest(range(CAST(json_array_length(l) AS BIGINT))) AS j FROM z)),
+labels AS (SELECT DISTINCT k, sheet, {_squeeze("lower(json_extract_string(x, '$.label'))")} AS label FROM i WHERE json_type(x) = 'OBJECT' AND json_type(json_extract(x, '$.label')) = 'VARCHAR'),
+named AS (SELECT * FROM labels WHERE label <> ''),
+cells AS (SELECT k, sheet, pos, j, c, keys[c] AS field, json_type(json_extract(v, '/' || replace(replace(keys[c], '~', '~0'), '/', '~1'))) AS t FROM (SELECT *, unnest(range(1, len(keys) + 1)) AS c FROM
+  (SELECT k, sheet, pos, j, json_extract(x, '$.values') AS v, json_keys(json_extract(x, '$.values')) AS keys FROM i WHERE json_type(x) = 'OBJECT' AND json_type(json_extract(x, '$.values')) = 'OBJECT'))),
+counted AS (SELECT k, sheet, field, min((pos * 1000000 + j) * 1000000 + c) AS started, count(*) FILTER (WHERE t NOT IN ('NULL', 'BOOLEAN', 'VARCHAR', 'OBJECT', 'ARRAY')) AS num, count(*) FILTER (WHERE t IN ('VARCHAR', 'OBJECT', 'ARRAY')) AS txt, count(*) FILTER (WHERE t = 'BOOLEAN') AS bool FROM cells GROUP BY k, sheet, field),
+fields AS (SELECT k, sheet, field, row_number() OVER (PARTITION BY k, sheet ORDER BY started) AS place, CASE WHEN num + txt + bool = 0 THEN NULL WHEN num >= txt AND num >= bool THEN 'number' WHEN txt >= bool THEN 'string' ELSE 'boolean' END AS t FROM counted),
+step AS (SELECT k, p FROM f WHERE p IS NOT NULL),
+fresh AS (SELECT step.k, sheet, pos FROM step JOIN sh ON sh.k = step.k), former AS (SELECT step.k, sheet, pos FROM step JOIN sh ON sh.k = step.p),
+come AS (SELECT * FROM fresh ANTI JOIN former USING (k, sheet)), gone AS (SELECT * FROM former ANTI JOIN fresh USING (k, sheet)),
+sizes AS (SELECT k, sheet, count(*) AS n FROM named GROUP BY k, sheet),
+shared AS (SELECT c.k, step.p, c.sheet, g.sheet AS was, count(*) AS m FROM come c JOIN gone g ON g.k = c.k AND g.pos = c.pos JOIN step ON step.k = c.k
+  JOIN named a ON a.k = c.k AND a.sheet = c.sheet JOIN named b ON b.k = step.p AND b.sheet = g.sheet AND b.label = a.label GROUP BY c.k, step.p, c.sheet, g.sheet),
+alike AS (SELECT s.k, s.sheet, s.was FROM shared s JOIN sizes x ON x.k = s.k AND x.sheet = s.sheet JOIN sizes y ON y.k = s.p AND y.sheet = s.was WHERE 2 * m > greatest(x.n, y.n)),
+pairs AS (SELECT k, sheet, sheet AS was FROM fresh SEMI JOIN former USING (k, sheet) UNION ALL SELECT k, sheet, was FROM alike),
+nf AS (SELECT pairs.k, pairs.sheet, field, place, t FROM pairs JOIN fields ON fields.k = pairs.k AND fields.sheet = pairs.sheet),
+wf AS (SELECT pairs.k, pairs.sheet, field, place, t FROM pairs JOIN step ON step.k = pairs.k JOIN fields ON fields.k = step.p AND fields.sheet = pairs.was),
+cf AS (SELECT * FROM nf ANTI JOIN wf USING (k, sheet, field)), gf AS (SELECT * FROM wf ANTI JOIN nf USING (k, sheet, field)),
+moved AS (SELECT cf.k, cf.sheet, cf.field, gf.field AS was FROM cf JOIN gf ON gf.k = cf.k AND gf.sheet = cf.sheet AND gf.place = cf.place AND (gf.t = cf.t OR gf.t IS NULL OR cf.t IS NULL))
+SELECT k AS file_id, sheet AS sheet_name, '' AS field, 'renamed' AS change FROM alike
+UNION ALL SELECT k, sheet, '', 'added' FROM come ANTI JOIN alike USING (k, sheet)
+UNION ALL SELECT k, sheet, '', 'removed' FROM gone WHERE NOT EXISTS (SELECT 1 FROM alike WHERE alike.k = gone.k AND alike.was = gone.sheet)
+UNION ALL SELECT nf.k, nf.sheet, nf.field, 'retyped' FROM nf JOIN wf USING (k, sheet, field) WHERE nf.t <> wf.t
+UNION ALL SELECT k, sheet, field, 'renamed' FROM moved
+UNION ALL SELECT k, sheet, field, 'added' FROM cf ANTI JOIN moved USING (k, sheet, field)
+UNION ALL SELECT k, sheet, field, 'removed' FROM gf WHERE NOT EXISTS (SELECT 1 FROM moved WHERE moved.k = gf.k AND moved.sheet = gf.sheet AND moved.was = gf.field)"""
+
 SQL: dict[str, str] = {
-    "p1_unreadable": _P1_UNREADABLE, "p2_found": _P2, "p4_found": _P4, "p4_cells": _P4_CELLS, "p5_found": _P5, "p5_attachments": _P5_ATTACHMENTS, "p5_items": _P5_ITEMS, "p5_sheets": _P5_SHEETS, "p5_results": _P5_RESULTS,
+    "p1_found": _P1, "p1_unreadable": _P1_UNREADABLE, "p2_found": _P2, "p4_found": _P4, "p4_cells": _P4_CELLS, "p5_found": _P5, "p5_attachments": _P5_ATTACHMENTS, "p5_items": _P5_ITEMS, "p5_sheets": _P5_SHEETS, "p5_results": _P5_RESULTS,
     "p5_values": _P5_VALUES, "p5_variant_attachments": _P5_VARIANT_ATTACHMENTS, "p5_variant_items": _P5_VARIANT_ITEMS, "p5_unreadable": _P5_UNREADABLE,
 }
